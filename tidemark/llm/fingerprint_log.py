@@ -190,8 +190,8 @@ def _cut_block(parts: int, texts: bool):
 class FingerprintLog:
     """The index: runs of fingerprints in the shared folder, newest last."""
 
-    def __init__(self, spark: SparkSession, blocks: int, fanout: int = 2) -> None:
-        self.spark, self.fanout, self.parts = spark, fanout, max(2, blocks)
+    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
+        self.spark, self.fanout, self.parts = spark, fanout, P.shuffle_parts(spark)
         self.runs: list[tuple[int, str]] = []
 
     def _read(self) -> DataFrame | None:
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, batches: int = 2, texts: bool = True) -> DataFrame:
 
     Each batch has about the same range of doc_id; batches = 1 is a single load."""
     blocked, n = P.with_blocks(docs)
-    log = FingerprintLog(docs.sparkSession, n)
+    log = FingerprintLog(docs.sparkSession)
     out = None
     for b in range(batches):
         # the last batch has no upper end, so that no block is left out by rounding

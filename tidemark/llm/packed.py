@@ -23,7 +23,7 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTE_INV, WORD_INV = pow(BYTE_BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
 
 #: Bytes of text that a kernel handles at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def with_blocks(docs: DataFrame, blocks: int | None = None) -> tuple[DataFrame,
     The number follows the shuffle partitions, so that it grows with the
     cluster's setting for the input.  Rows without a doc_id can't be addressed
     in a result and are left out."""
-    n = blocks or 2 * shuffle_parts(docs.sparkSession)
+    n = blocks or 5 * shuffle_parts(docs.sparkSession) // 2
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     low, high = d.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
