@@ -113,19 +113,28 @@ def _sum_part(frequent: int):
         out = [(part, b, 1, _number(total[inverse[a:z]])) for b, a, z in zip(blocks, edges, edges[1:], strict=False)]
         sums = np.array([np.bincount(shape, w, SHAPES + 1) for w in (total, total > 0, total == 1)]).astype(np.int64)
         words = np.flatnonzero((shape < SHAPES) & (total > 0))
-        top = words[np.lexsort((keys[words], -total[words]))[:frequent]]
+        top = words[np.lexsort((keys[words].view(np.int64), -total[words]))[:frequent]]
         return _rows([*out, (part, -1, 2, sums.tobytes() + len(top).to_bytes(8, "little") + keys[top].tobytes() + total[top].tobytes() + shape[top].tobytes())])
 
     return run
 
 
-def _top_rows(batches):
-    for b in batches:
-        for blob in b.column("blob").to_pylist():
-            at = 8 * 3 * (SHAPES + 1)
-            n = int.from_bytes(blob[at:at + 8], "little")
-            key, count = (np.frombuffer(blob, np.int64, n, at + 8 + i * 8 * n) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count), pa.array(np.frombuffer(blob, np.uint8, n, at + 8 + 16 * n).astype(np.int32))], names=["key", "n", "shape"])
+def _top_rows(frequent: int):
+    """The most frequent words of all parts in a partition."""
+    def run(batches):
+        key, count, shape = np.empty(0, P.U64), np.empty(0, np.int64), np.empty(0, np.int32)
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                at = 8 * 3 * (SHAPES + 1)
+                n = int.from_bytes(blob[at:at + 8], "little")
+                key = np.r_[key, np.frombuffer(blob, P.U64, n, at + 8)]
+                count = np.r_[count, np.frombuffer(blob, np.int64, n, at + 8 + 8 * n)]
+                shape = np.r_[shape, np.frombuffer(blob, np.uint8, n, at + 8 + 16 * n).astype(np.int32)]
+                best = np.lexsort((key.view(np.int64), -count))[:frequent]
+                key, count, shape = key[best], count[best], shape[best]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count), pa.array(shape)], names=["key", "n", "shape"])
+
+    return run
 
 
 def _sum_rows(batches):
@@ -294,7 +303,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) ->
     counts = blocked.groupBy("block").applyInArrow(_count_block(parts), _RUN)
     summed = P.stored(counts.groupBy("part").applyInArrow(_sum_part(frequent), _RUN), "counts")
     stats = summed.where("kind = 2").select("blob")
-    top = stats.mapInArrow(_top_rows, "key long, n long, shape int").orderBy(F.desc("n"), "key").limit(frequent).toPandas()
+    top = stats.coalesce(max(1, int(parts**0.5))).mapInArrow(_top_rows(frequent), "key long, n long, shape int").orderBy(F.desc("n"), "key").limit(frequent).toPandas()
     by_shape = stats.mapInArrow(_sum_rows, "kind int, shape int, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros((3, SHAPES + 1), np.int64)
     sums[by_shape["kind"], by_shape["shape"]] = by_shape["n"]

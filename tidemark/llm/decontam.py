@@ -33,12 +33,15 @@ WINDOW = 10
 RARE = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAKS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or 65 <= c <= 90))
 
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAK)
-    return F.filter(parts, lambda w: w != "")
+    # lower() is faster than translate(), and the same where there is nothing but ASCII; without breaks at its ends a text has no empty parts
+    inner = F.btrim(text, F.lit(_BREAKS))
+    low = F.when(F.length(inner) == F.octet_length(inner), F.lower(inner)).otherwise(F.translate(inner, _UPPER, _LOWER))
+    return F.when(inner != "", F.split(low, _BREAK)).otherwise(F.array().cast("array<string>"))
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -52,10 +55,14 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_key", F.posexplode("w").alias("pos", "term"))
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, doc_key and the words of each document.  The key tells rows of one doc_id apart; equal rows share it."""
-    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), words(F.col("text")).alias("w"))
+    return _with_key(docs).select("doc_id", "doc_key", words(F.col("text")).alias("w"))
 
 
 def rare_terms(found: DataFrame, docs: DataFrame, rare: int = RARE) -> DataFrame:
@@ -68,9 +75,8 @@ def rare_terms(found: DataFrame, docs: DataFrame, rare: int = RARE) -> DataFrame
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (term, doc_key, pos) of the given terms, equal documents once."""
-    postings = _tokens(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    return P.stored(postings.distinct(), "postings")
+    """Stored postings (term, doc_key, pos) of the given terms."""
+    return P.stored(_tokens(docs).join(terms.select("term").distinct(), "term", "left_semi"), "postings")
 
 
 def phrase_starts(postings: DataFrame, lookup: DataFrame, rare: int = RARE) -> DataFrame:
@@ -99,24 +105,27 @@ def near_matches(postings: DataFrame, lookup: DataFrame, slop: int) -> DataFrame
     return both.groupBy("window_id", "doc_key", "start").agg(F.countDistinct("nth").alias("met")).join(wanted, "window_id").where("met = wanted").select("window_id", "doc_key", "start")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """Candidate starts of whole windows (doc_key, start, window, items), stored; and keyed documents."""
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rare: int = RARE) -> DataFrame:
+    """Candidate starts of whole windows (doc_key, start, window, items), stored."""
     source = keyed(docs)
     found = P.stored(windows(benchmark, n), "windows")
     lookup = P.stored(rare_terms(found, source, rare), "lookup")
     # windows with a term that no document has can't match
     possible = lookup.join(lookup.where("n = 0").select("window_id").distinct(), "window_id", "left_anti")
     starts = phrase_starts(index(source, possible), possible, rare).where("start >= 0")
-    return P.stored(starts.join(found, "window_id").select("doc_key", "start", "window", "items"), "starts"), source
+    # equal documents share a key: their starts count once
+    return P.stored(starts.distinct().join(found, "window_id").select("doc_key", "start", "window", "items"), "starts")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rare: int = RARE) -> DataFrame:
     """doc_id, n_words, n_hit, items (array), spans (array of start and end word), contaminated of each document."""
-    candidates, source = matches(docs, benchmark, n, rare)
+    candidates = matches(docs, benchmark, n, rare)
     # the candidates are a stored table, so its size is known: Spark sends it to the documents if small, and else sorts both
     starts = candidates.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "window", "items"))).alias("found"))
     real = "filter(found, c -> slice(w, c.start + 1, size(c.window)) = c.window)"
-    both = source.join(starts, "doc_key", "left").select("doc_id", F.size("w").alias("n_words"), F.expr(f"coalesce({real}, array())").alias("found"))
+    # texts are smaller than arrays of words: they are split after the join
+    joined = _with_key(docs).join(starts, "doc_key", "left").select("doc_id", words(F.col("text")).alias("w"), "found")
+    both = joined.select("doc_id", F.size("w").alias("n_words"), F.expr(f"coalesce({real}, array())").alias("found"))
     spans = "transform(found, c -> named_struct('start', cast(c.start as long), 'end', cast(c.start + size(c.window) as long)))"
     # sorted by start: each adds what reaches beyond the greatest end so far
     hit = "aggregate(spans, named_struct('n', 0L, 'to', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(a.to, s.start)), 'to', greatest(a.to, s.end)), a -> a.n)"

@@ -159,7 +159,7 @@ def _across(least: np.ndarray):
         a_root, b_root = left.column("root").to_numpy(), right.column("root2").to_numpy()
         found = []
         for i in range(len(a_id)):
-            other = np.flatnonzero((b_root != a_root[i]) & (b_id > a_id[i]))
+            other = np.flatnonzero(b_root != a_root[i])
             keep, same = sequential(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
             found += [(int(a_id[i]), int(b_id[j]), int(s)) for j, s in zip(other[keep], same[keep], strict=True)]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
@@ -231,23 +231,23 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
     best = survivors.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = P.stored(verified(best, nodes, source, size, percent), "links")
     root = P.stored(roots(links), "roots")
-    # what may still join classes: survivors across them, and whole buckets that hold several
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, root = _joined(survivors, tried, links, root, nodes, source, size, percent)
+    # buckets that hold several classes: their members outside the bucket's largest class are compared with all its members
     of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
     rooted = shared.select("bucket", "n", "node").join(of, F.col("node") == F.col("_n"), "left").select("bucket", "n", "node", F.coalesce("_r", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("of_root", "root")).alias("major")).where("roots > 1").select("bucket", "major")
     members = P.stored(rooted.join(mixed, "bucket"), "mixed")
     if members.limit(1).count():
+        # every member is sent once, in blocks; the few outside the largest class to every block
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = members.join(nodes.select("node", "sign"), "node").withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
-        left = own.select("bucket", "node", "root", "sign", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        right = own.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("i").alias("j2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i2"))
-        extra = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket2", "i2", "j2")).applyInArrow(_across(least), "a long, b long, same long")
-        more = extra.select("a", "b").unionByName(survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = P.stored(_across_classes(more.join(tried, ["a", "b"], "left_anti"), of), "more")
-        if more.limit(1).count():
-            links = P.stored(links.unionByName(verified(more, nodes, source, size, percent)), "links")
-            root = P.stored(roots(links), "roots")
+        own = members.join(nodes.select("node", "sign"), "node").withColumn("blocks", blocks)
+        right = own.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
+        left = own.where("root <> major").select("bucket", "node", "root", "sign", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+        extra = left.groupBy("bucket", "i").cogroup(right.groupBy("bucket2", "i2")).applyInArrow(_across(least), "a long, b long, same long")
+        tried = tried.unionByName(survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links, root = _joined(extra, tried, links, root, nodes, source, size, percent)
     # the root itself isn't listed as a node of its class
     whole = root.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(root)
     named = whole.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -258,6 +258,17 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _joined(pairs: DataFrame, tried: DataFrame, links: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links and root after those of the pairs that are across classes, and haven't been tried, are verified too."""
+    of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = P.stored(_across_classes(one.join(tried, ["a", "b"], "left_anti"), of), "more")
+    if not more.limit(1).count():
+        return links, root
+    links = P.stored(links.unionByName(verified(more, nodes, docs, size, percent)), "links")
+    return links, P.stored(roots(links), "roots")
+
+
 def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"{c}_sign")) for c in "ab")
     return pairs.join(a, "a").join(b, "b")
