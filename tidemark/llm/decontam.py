@@ -30,18 +30,14 @@ from pyspark.sql import functions as F
 from tidemark.llm import packed as P
 
 WINDOW = 10
-RARE = 3
+RARE = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BREAKS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or 65 <= c <= 90))
 
 
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    # lower() is faster than translate(), and the same where there is nothing but ASCII; without breaks at its ends a text has no empty parts
-    inner = F.btrim(text, F.lit(_BREAKS))
-    low = F.when(F.length(inner) == F.octet_length(inner), F.lower(inner)).otherwise(F.translate(inner, _UPPER, _LOWER))
-    return F.when(inner != "", F.split(low, _BREAK)).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAK), "")
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

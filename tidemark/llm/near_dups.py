@@ -13,9 +13,10 @@ of at least `percent` / 100; a class is what links connect.
    looked up; below `miss` the pair is dropped.
 5. The best survivor of each node is verified on the full sets, made again from
    the texts; a star of thousands is verified in salted parts.
-6. Buckets that still hold several classes are searched whole, in blocks of
-   members, for pairs across classes; these and the survivors left over are
-   pruned and verified likewise.  Nothing is capped.
+6. Survivors left over that are across classes are verified too.  Buckets that
+   then still hold several classes are searched whole, in blocks of members,
+   for pairs across classes; these are pruned and verified where they meet, and
+   only a link for each joining of classes leaves a block.  Nothing is capped.
 
 Null text and text without words are an empty set, linked with nothing.  Rows
 without doc_id are left out.  Rows that repeat a doc_id each have a set and a
@@ -149,25 +150,49 @@ def _prune(least: np.ndarray):
     return run
 
 
-def _across(least: np.ndarray):
-    """Pairs across classes of one pair of blocks of a bucket that their signatures can't exclude."""
+def _link_across(least: np.ndarray, percent: int):
+    """Links across classes between some nodes and one block of their group.
+
+    Pairs that their signatures can't exclude are verified on the full sets,
+    likeliest first; a pair whose classes are joined already is skipped, so
+    that a block gives one link for each joining of classes, not all its pairs."""
     def run(key, left, right):
-        a_id, b_id = left.column("node").to_numpy(), right.column("node2").to_numpy()
-        if not len(a_id) or not len(b_id):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "same": pa.array([], pa.int64())})
-        a, b = _matrix(left.column("sign")), _matrix(right.column("sign2"))
-        a_root, b_root = left.column("root").to_numpy(), right.column("root2").to_numpy()
         found = []
-        for i in range(len(a_id)):
-            other = np.flatnonzero(b_root != a_root[i])
-            keep, same = sequential(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
-            found += [(int(a_id[i]), int(b_id[j]), int(s)) for j, s in zip(other[keep], same[keep], strict=True)]
-        cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "same": pa.array(cols[2], pa.int64())})
+        if left.num_rows and right.num_rows:
+            a_id, b_id = left.column("node").to_pylist(), right.column("node2").to_pylist()
+            a, b = _matrix(left.column("sign")), _matrix(right.column("sign2"))
+            names, label = np.unique(np.r_[left.column("root").to_numpy(), right.column("root2").to_numpy()], return_inverse=True)
+            a_class, b_class = label[:len(a_id)].copy(), label[len(a_id):].copy()
+            sets: dict[int, np.ndarray] = {}
+            blobs = right.column("shingles2").to_pylist()
+            for i, blob in enumerate(left.column("shingles").to_pylist()):
+                other = np.flatnonzero(b_class != a_class[i])
+                keep, same = sequential(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
+                own = P.unpack_sorted(blob) if keep.any() else None
+                for j in other[keep][np.argsort(-same[keep], kind="stable")].tolist():
+                    if b_class[j] == a_class[i]:
+                        continue
+                    if j not in sets:
+                        sets[j] = P.unpack_sorted(blobs[j])
+                    if _similar(own, sets[j], percent):
+                        found.append((a_id[i], b_id[j]))
+                        was, now = b_class[j], a_class[i]
+                        a_class[a_class == was] = now
+                        b_class[b_class == was] = now
+        cols = list(zip(*found, strict=True)) or [(), ()]
+        return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
 
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < percent * large:
+        return False
+    both = int(P.found_in(a, b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _sets_of(size: int):
     def run(batches):
         for batch in batches:
@@ -191,9 +216,7 @@ def _verify(percent: int):
         if left.num_rows and right.num_rows:
             centre = P.unpack_sorted(right.column("centre")[0].as_py())
             for node, blob in zip(left.column("a").to_pylist(), left.column("shingles").to_pylist(), strict=True):
-                own = P.unpack_sorted(blob)
-                both = int(P.found_in(own, centre).sum())
-                if 100 * both >= percent * (len(own) + len(centre) - both):
+                if _similar(P.unpack_sorted(blob), centre, percent):
                     found.append((node, key[0].as_py()))
         cols = list(zip(*found, strict=True)) or [(), ()]
         return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
@@ -201,15 +224,19 @@ def _verify(percent: int):
     return run
 
 
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Stored shingle sets (node, shingles) of some nodes, made again from the texts."""
+    wanted = P.stored(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return P.stored(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets_of(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough, as (u, v)."""
     part = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
     stars = pairs.groupBy("b").agg(F.count("*").alias("n"))
     dealt = P.stored(pairs.join(stars, "b").select("a", "b", part.cast("int").alias("part")), "pairs")
-    wanted = P.stored(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets_of(size), "node long, shingles binary").dropDuplicates(["node"])
-    sets = P.stored(sets, "sets")
+    sets = _sets(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), nodes, docs, size)
     members = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "shingles")
     # other names than on the left, or Spark takes them for the same columns
     centres = dealt.select("b", "part").distinct().join(sets.withColumnRenamed("node", "b"), "b").select(F.col("b").alias("c"), F.col("part").alias("c_part"), F.col("shingles").alias("centre"))
@@ -233,21 +260,25 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
     root = P.stored(roots(links), "roots")
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links, root = _joined(survivors, tried, links, root, nodes, source, size, percent)
-    # buckets that hold several classes: their members outside the bucket's largest class are compared with all its members
+    # buckets that hold several classes, put together where they share members: a node is in one group, however many buckets it is in
     of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    rooted = shared.select("bucket", "n", "node").join(of, F.col("node") == F.col("_n"), "left").select("bucket", "n", "node", F.coalesce("_r", "node").alias("root"))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("of_root", "root")).alias("major")).where("roots > 1").select("bucket", "major")
-    members = P.stored(rooted.join(mixed, "bucket"), "mixed")
+    rooted = shared.select("bucket", "node").join(of, F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("_r", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("bucket", "first")
+    members = P.stored(rooted.join(mixed, "bucket").select("node", "root", "first").distinct(), "mixed")
     if members.limit(1).count():
-        # every member is sent once, in blocks; the few outside the largest class to every block
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = members.join(nodes.select("node", "sign"), "node").withColumn("blocks", blocks)
-        right = own.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
-        left = own.where("root <> major").select("bucket", "node", "root", "sign", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-        extra = left.groupBy("bucket", "i").cogroup(right.groupBy("bucket2", "i2")).applyInArrow(_across(least), "a long, b long, same long")
-        tried = tried.unionByName(survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links, root = _joined(extra, tried, links, root, nodes, source, size, percent)
+        group = roots(members.select(F.col("node").alias("u"), F.col("first").alias("v")))
+        group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("grp"))
+        each = members.select("node", "root").distinct().join(group, "node")
+        sizes = each.groupBy("grp", "root").agg(F.count("*").alias("of_root"))
+        major = sizes.groupBy("grp").agg(F.sum("of_root").alias("n"), F.max_by("root", F.struct("of_root", "root")).alias("major"))
+        own = each.join(major, "grp").join(nodes.select("node", "sign"), "node").join(_sets(each.select("node"), nodes, source, size), "node")
+        own = P.stored(own.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "groups")
+        # every member is sent once, in blocks; those outside the largest class of the group to every block
+        right = own.select(F.col("grp").alias("grp2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("shingles").alias("shingles2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
+        left = own.where("root <> major").select("grp", "node", "root", "sign", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+        extra = left.groupBy("grp", "i").cogroup(right.groupBy("grp2", "i2")).applyInArrow(_link_across(least, percent), "u long, v long")
+        links = P.stored(links.unionByName(extra), "links")
+        root = P.stored(roots(links), "roots")
     # the root itself isn't listed as a node of its class
     whole = root.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(root)
     named = whole.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
