@@ -13,10 +13,10 @@ of at least `percent` / 100; a class is what links connect.
    looked up; below `miss` the pair is dropped.
 5. The best survivor of each node is verified on the full sets, made again from
    the texts; a star of thousands is verified in salted parts.
-6. Survivors left over that are across classes are verified too.  Buckets that
-   then still hold several classes are searched whole, in blocks of members,
-   for pairs across classes; these are pruned and verified where they meet, and
-   only a link for each joining of classes leaves a block.  Nothing is capped.
+6. Buckets that then still hold several classes are searched whole, in blocks
+   of members, for pairs across classes, survivors left over among them; these
+   are pruned and verified where they meet, and only a link for each joining of
+   classes leaves a block.  Nothing is capped.
 
 Null text and text without words are an empty set, linked with nothing.  Rows
 without doc_id are left out.  Rows that repeat a doc_id each have a set and a
@@ -257,9 +257,7 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
     survivors = P.stored(_signed(pairs, nodes).mapInArrow(_prune(least), "a long, b long, same long"), "survivors")
     best = survivors.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     links = P.stored(verified(best, nodes, source, size, percent), "links")
-    root = P.stored(roots(links), "roots")
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links, root = _joined(survivors, tried, links, root, nodes, source, size, percent)
+    root = roots(links)
     # buckets that hold several classes, put together where they share members: a node is in one group, however many buckets it is in
     of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
     rooted = shared.select("bucket", "node").join(of, F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("_r", "node").alias("root"))
@@ -277,8 +275,8 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
         right = own.select(F.col("grp").alias("grp2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("shingles").alias("shingles2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
         left = own.where("root <> major").select("grp", "node", "root", "sign", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
         extra = left.groupBy("grp", "i").cogroup(right.groupBy("grp2", "i2")).applyInArrow(_link_across(least, percent), "u long, v long")
-        links = P.stored(links.unionByName(extra), "links")
-        root = P.stored(roots(links), "roots")
+        # classes are stars already: only what joins them is new
+        root = roots(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra))
     # the root itself isn't listed as a node of its class
     whole = root.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(root)
     named = whole.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -289,28 +287,11 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _joined(pairs: DataFrame, tried: DataFrame, links: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links and root after those of the pairs that are across classes, and haven't been tried, are verified too."""
-    of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = P.stored(_across_classes(one.join(tried, ["a", "b"], "left_anti"), of), "more")
-    if not more.limit(1).count():
-        return links, root
-    links = P.stored(links.unionByName(verified(more, nodes, docs, size, percent)), "links")
-    return links, P.stored(roots(links), "roots")
-
-
 def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"{c}_sign")) for c in "ab")
     return pairs.join(a, "a").join(b, "b")
 
 
-def _across_classes(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    a = pairs.join(of, F.col("a") == F.col("_n"), "left").select("a", "b", F.coalesce("_r", "a").alias("a_root"))
-    b = a.join(of, F.col("b") == F.col("_n"), "left").select("a", "b", "a_root", F.coalesce("_r", "b").alias("b_root"))
-    return b.where("a_root <> b_root").select("a", "b")
-
-
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents but for the near copies of ones with a smaller doc_id.  Rows without doc_id stay."""
     gone = classes(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
