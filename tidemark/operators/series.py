@@ -94,3 +94,26 @@ def ranked_quantile(values: Column, share: float, rule: str) -> Column:
 def normalised(series: DataFrame) -> DataFrame:
     """(v - mean) / sqrt(population variance + 1e-7)."""
     return series.withColumn("v", (F.col("v") - F.avg("v").over(_by())) / F.sqrt(F.var_pop("v").over(_by()) + 1e-7))
+
+
+def above_noise(series: DataFrame, share: float = 0.22, floor: float = 0.004) -> DataFrame:
+    """Bins above both the floor and a share of the series' 90% quantile."""
+    bar = series.groupBy("series_id").agg(F.greatest(ranked_quantile(F.col("v"), 0.9, "floor") * share, F.lit(floor)).alias("bar"))
+    return series.join(bar, "series_id").where("v > bar").select("series_id", "bin", "v")
+
+
+def window_starts(lengths: DataFrame, width: int, hop: int) -> DataFrame:
+    """Starts of windows over (series_id, n): the last one ends at n; a short series has one window, an empty one none."""
+    last = F.greatest(F.col("n") - width, F.lit(0)).cast("long")
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(hop).cast("long")), F.array(last)))
+    one = F.when(F.col("n") <= width, F.array(F.lit(0).cast("long"))).otherwise(starts)
+    return lengths.where("n > 0").select("series_id", F.explode(one).alias("start"))
+
+
+def mass(series: DataFrame, spans: DataFrame, width: float, tau: float) -> DataFrame:
+    """Of each span (series_id, span, start_s, end_s) the bins whose centre it holds, and those of them with v >= tau."""
+    s = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_s") / width - 0.5), F.ceil(F.col("end_s") / width - 0.5))))
+    at = (F.col("bin") + 0.5) * width
+    held = s.where((at >= F.col("start_s")) & (at < F.col("end_s"))).join(series, ["series_id", "bin"])
+    n = held.groupBy("series_id", "span").agg(F.count_if(F.col("v") >= tau).alias("hits"), F.count("*").alias("total"))
+    return spans.select("series_id", "span").join(n, ["series_id", "span"], "left").select("series_id", "span", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("total", F.lit(0)).alias("total"))

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import layout as L
 from tidemark.functions import text as T
-from tidemark.operators import intervals, moments, sentences, stores
+from tidemark.operators import intervals, moments, sentences, stores, words
 from tidemark.operators import series as S
 
 BINS, HOUR = 720, 3_600_000_000
@@ -180,9 +181,9 @@ def layered_merge(spark, d):
 
 @query("WITH w AS (SELECT conv_id AS clip, turn AS idx, split_part(text, ' ', 2) AS word, ((conv_id * 7 + turn * 13) % 100) / 100.0::DOUBLE AS confidence FROM conversations WHERE text IS NOT NULL), o AS (SELECT *, lower(trim(word)) AS core FROM w), f AS (SELECT *, row_number() OVER (PARTITION BY clip, core ORDER BY idx) AS k FROM o WHERE confidence < 0.5 AND length(core) >= 4 AND regexp_matches(core, '\\p{L}') AND core NOT IN (SELECT lower(split_part(text, ' ', 1)) FROM benchmark)), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY confidence, idx) AS rank FROM f WHERE k = 1) SELECT clip, core, confidence, rank FROM r WHERE rank <= 8")
 def harvest_candidates(spark, d):
-    words = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("clip"), F.col("turn").alias("idx"), F.split_part("text", F.lit(" "), F.lit(2)).alias("word"), (((F.col("conv_id") * 7 + F.col("turn") * 13) % 100) / 100.0).alias("confidence"))
+    unsure = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("clip"), F.col("turn").alias("idx"), F.split_part("text", F.lit(" "), F.lit(2)).alias("word"), (((F.col("conv_id") * 7 + F.col("turn") * 13) % 100) / 100.0).alias("confidence"))
     known = table(spark, d, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    return stores.harvested(words, known, 0.5, 4, 8)
+    return stores.harvested(unsure, known, 0.5, 4, 8)
 
 
 @query(f"WITH {_EV}, v AS (SELECT us // {HOUR} AS pos, (event_id % 3)::INT AS variant, series_id AS token FROM ev), n AS (SELECT pos, token, count(*) AS n, max((variant = 0)::INT) AS b FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, b DESC, token) AS k FROM n) SELECT pos, token, n FROM r WHERE k = 1")
@@ -283,4 +284,72 @@ def speaker_attribution(spark, d):
     return e.groupBy("clip").applyInPandas(run, "clip long, bin long, speaker string, confidence double")
 
 
+@query(f"WITH {_GRID}, q AS (SELECT series_id, list_sort(list(v)) AS l, count(*) AS n FROM s GROUP BY 1), b AS (SELECT series_id, greatest(0.22::DOUBLE * l[least(floor(n * 0.9)::BIGINT, n - 1) + 1], 0.004) AS bar FROM q) SELECT series_id, bin, v FROM s JOIN b USING (series_id) WHERE v > bar")
+def voiced_bins(spark, d):
+    return S.above_noise(hourly(spark, d))
+
+
+@query("WITH l AS (SELECT user_id AS series_id, count(*) AS n FROM events GROUP BY 1), w AS (SELECT series_id, unnest(CASE WHEN n <= 20 THEN [0] ELSE list_distinct(list_append(range(0, n - 20 + 1, 15), n - 20)) END) AS start FROM l) SELECT series_id, start::BIGINT AS start FROM w")
+def sliding_window_plan(spark, d):
+    return S.window_starts(table(spark, d, "events").groupBy(F.col("user_id").alias("series_id")).agg(F.count("*").alias("n")), 20, 15)
+
+
+@query(f"WITH {_GRID}, k AS (SELECT series_id, event_id AS span, t AS start_s, t + 9000 AS end_s FROM ev WHERE series_id = 'purchase') SELECT k.series_id, span, count_if(v >= 1) AS hits, count(v) AS total FROM k LEFT JOIN s ON s.series_id = k.series_id AND (bin + 0.5) * 3600 >= start_s AND (bin + 0.5) * 3600 < end_s GROUP BY 1, 2")
+def mass_in_spans(spark, d):
+    spans = timed(spark, d).where("series_id = 'purchase'").select("series_id", F.col("event_id").alias("span"), F.col("t").alias("start_s"), (F.col("t") + 9000).alias("end_s"))
+    return _counts(S.mass(hourly(spark, d), spans, 3600.0, 1.0))
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in ("hits", "total")})
+
+
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 + 5 AS w, l_quantity / 2 + 1 AS h FROM lineitem), f AS (SELECT *, least(w, h * 0.5625::DOUBLE) AS fw, least(h, w / 0.5625::DOUBLE) AS fh FROM b) SELECT l_orderkey, l_linenumber, round(x + (w - fw) / 2, 6) AS fx, round(y + (h - fh) / 2, 6) AS fy, round(fw, 6) AS fw, round(fh, 6) AS fh, round(x + (y - x) * greatest(0, least(1, l_linenumber / 4.0::DOUBLE)), 6) AS pan FROM f")
+def crop_geometry(spark, d):
+    b = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100 + 5).alias("w"), (F.col("l_quantity") / 2 + 1).alias("h"))
+    f = b.withColumn("f", L.fitted(*map(F.col, "xywh"), 0.5625))
+    return f.select("l_orderkey", "l_linenumber", *(F.round(F.col(f"f.{c}"), 6).alias(f"f{c}") for c in "xywh"), F.round(L.blended(F.col("x"), F.col("y"), F.col("l_linenumber") / 4), 6).alias("pan"))
+
+
+@query(f"WITH {_EV}, c AS (SELECT event_id, user_id, value, (round(greatest(t, 0) * 100))::BIGINT AS c FROM ev WHERE value IS NOT NULL) SELECT event_id, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS at, printf('&H%02X%02X%02X%02X', 255 - user_id % 256, event_id % 256, 7, 200) AS colour, 'Person ' || chr((65 + user_id % 26)::INT) AS person, round(8 + 4 * greatest(0, least(1, (value - 10) / 40)), 6) AS lead_s FROM c")
+def caption_marks(spark, d):
+    e = timed(spark, d).where("value IS NOT NULL")
+    return e.select("event_id", L.caption_time(F.col("t")).alias("at"), L.caption_colour(F.lit(200), F.lit(7), F.col("event_id") % 256, F.col("user_id") % 256).alias("colour"), L.person(F.col("user_id")).alias("person"), F.round(L.ramp(F.col("value"), 10.0, 50.0, 8.0, 12.0), 6).alias("lead_s"))
+
+
+_TOKENS = "tok AS (SELECT conv_id * 1000 + turn AS id, lower(split_part(text, ' ', 2)) AS token FROM conversations WHERE text IS NOT NULL), dict AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS word FROM benchmark), st AS (SELECT item_id AS pos, lower(split_part(text, ' ', 3)) AS wrong, 'r' || item_id AS \"right\" FROM (SELECT row_number() OVER (ORDER BY item_id) AS item_id, text FROM benchmark))"
+
+
+def _words(spark, d):
+    c = table(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("token"))
+    b = table(spark, d, "benchmark").withColumn("pos", F.expr("row_number() OVER (ORDER BY item_id)").cast("long"))
+    return c, b.select("pos", F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("wrong"), F.concat(F.lit("r"), F.col("pos").cast("string")).alias("right")), b.select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("word"))
+
+
+@query(f"WITH {_TOKENS}, j AS (SELECT id, token, pos, \"right\", row_number() OVER (PARTITION BY id, token ORDER BY (token <> wrong)::INT, pos) AS n FROM tok JOIN st ON token = wrong OR (length(wrong) >= 4 AND levenshtein(token, wrong) <= 1 AND token NOT IN (SELECT word FROM dict))) SELECT id, token, pos, \"right\" FROM j WHERE n = 1")
+def fuzzy_store_join(spark, d):
+    return words.fuzzy(*_words(spark, d))
+
+
+@query("WITH e AS (SELECT p_partkey AS id, p_name AS wrong, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_type) END AS \"right\" FROM part), c AS (SELECT DISTINCT lower(p_name) AS w, lower(p_type) AS r FROM part WHERE p_size % 2 = 0) SELECT id, wrong, \"right\" FROM e WHERE \"right\" <> '' AND lower(wrong) <> lower(\"right\") AND (lower(wrong), lower(\"right\")) IN (SELECT (w, r) FROM c)")
+def allow_list_gate(spark, d):
+    p = table(spark, d, "part")
+    edits = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("wrong"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.upper("p_type")).alias("right"))
+    return words.allowed(edits, p.where("p_size % 2 = 0").select(F.col("p_name").alias("wrong"), F.col("p_type").alias("right")))
+
+
+@query("WITH v AS (SELECT 0 AS layer, p_partkey AS pos, p_type AS word FROM part UNION ALL SELECT 1, p_partkey, upper(split_part(p_name, ' ', 1)) FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY lower(word) ORDER BY layer, pos) AS n FROM v WHERE trim(word) <> '') SELECT count(*) AS words, string_agg(word, ', ' ORDER BY layer, pos) AS prompt FROM f WHERE n = 1")
+def vocabulary_prompt(spark, d):
+    p = table(spark, d, "part")
+    own = p.select(F.lit(0).alias("layer"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("word"))
+    return words.vocabulary(own.unionByName(p.select(F.lit(1).alias("layer"), F.col("p_partkey").alias("pos"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word"))))
+
+
+@query()
+def word_error_rates(spark, d):
+    """Each turn against the one before it; an alignment, tested against brute force."""
+    before = F.expr("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")
+    return words.error_counts(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("got"), before.alias("want")))
+
+
 FLAGSHIP = detect_moments
