@@ -55,3 +55,10 @@ def complement(cuts: DataFrame, by: str, total: float) -> DataFrame:
     gaps = cuts.withColumn("_to", F.coalesce(reach, F.lit(0.0))).where("from_s > _to").select(by, F.col("_to").alias("from_s"), F.col("from_s").alias("to_s"))
     tail = cuts.groupBy(by).agg(F.max("to_s").alias("from_s")).where(f"from_s < {total}").withColumn("to_s", F.lit(total))
     return gaps.unionByName(tail)
+
+
+def first_within(points: DataFrame, spans: DataFrame, by: str, point: str, span: str, slack: float, cell: float) -> DataFrame:
+    """Each point t with the first span that holds it, give or take `slack` (the smaller `span` on a tie); points without one aren't listed."""
+    wide = celled(spans.withColumn("_a", F.col("from_s") - slack).withColumn("_b", F.col("to_s") + slack), "_a", "_b", cell)
+    near = points.withColumn("_cell", F.floor(F.col("t") / cell)).join(wide, [by, "_cell"]).where("_a <= t AND t <= _b")
+    return near.groupBy(by, point).agg(F.min(F.struct("from_s", span)).alias("x")).select(by, point, F.col(f"x.{span}").alias(span))

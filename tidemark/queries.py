@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import layout as L
 from tidemark.functions import text as T
-from tidemark.operators import intervals, moments, sentences, stores, words
+from tidemark.operators import intervals, moments, sentences, sequences, stores, words
 from tidemark.operators import series as S
 
 BINS, HOUR = 720, 3_600_000_000
@@ -352,4 +352,36 @@ def word_error_rates(spark, d):
     return words.error_counts(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("got"), before.alias("want")))
 
 
+@query()
+def caption_line_groups(spark, d):
+    """The first word of each turn, as captions of a conversation."""
+    w = turns(spark, d).select("conv_id", "idx", F.split_part("text", F.lit(" "), F.lit(1)).alias("text"), "start_s", "end_s")
+    return sequences.caption_lines(w, "conv_id")
+
+
+@query()
+def box_suppression(spark, d):
+    b = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("det"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100 + 25).alias("w"), (F.col("l_quantity") / 2 + 11).alias("h"), F.col("l_extendedprice").alias("score"))
+    return sequences.box_suppression(b, "l_orderkey", 0.3)
+
+
+@query()
+def refractory_onsets(spark, d):
+    return sequences.onsets(timed(spark, d).select("user_id", "t"), "user_id", 7200.0)
+
+
+@query()
+def forced_alignment(spark, d):
+    """Vectors as emissions of 16 frames over 4 tokens, aligned with three targets."""
+    e = table(spark, d, "embeddings").where("size(embedding) = 64").select(F.col("vec_id").alias("clip"), F.expr("transform(sequence(0, 15), i -> transform(slice(embedding, i * 4 + 1, 4), x -> cast(x AS double)))").alias("logp"), F.expr("array(1 + cast(vec_id % 3 AS int), 2, 2)").alias("targets"))
+    return sequences.forced_alignment(e)
+
+
+@query(f"WITH {_EV}, m AS (SELECT user_id, event_id AS moment, t AS a, t + 5400 AS b FROM ev WHERE series_id = 'purchase'), j AS (SELECT c.user_id, c.event_id, moment, row_number() OVER (PARTITION BY c.event_id ORDER BY a, moment) AS n FROM ev c JOIN m ON m.user_id = c.user_id AND a - 1 <= t AND t <= b + 1 WHERE series_id = 'click') SELECT user_id, event_id, moment FROM j WHERE n = 1")
+def clip_moment_link(spark, d):
+    e = timed(spark, d)
+    m = e.where("series_id = 'purchase'").select("user_id", F.col("event_id").alias("moment"), F.col("t").alias("from_s"), (F.col("t") + 5400).alias("to_s"))
+    return intervals.first_within(e.where("series_id = 'click'").select("user_id", "event_id", "t"), m, "user_id", "event_id", "moment", 1.0, 7200.0).select("user_id", "event_id", "moment")
+
+
 FLAGSHIP = detect_moments
