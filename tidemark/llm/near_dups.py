@@ -151,7 +151,7 @@ def _prune(least: np.ndarray):
 
 
 def _link_across(least: np.ndarray, percent: int):
-    """Links across classes between some nodes and one block of their group.
+    """Links between the classes of some nodes and of one block of their group, as (u, v) of their roots.
 
     Pairs that their signatures can't exclude are verified on the full sets,
     likeliest first; a pair whose classes are joined already is skipped, so
@@ -159,10 +159,10 @@ def _link_across(least: np.ndarray, percent: int):
     def run(key, left, right):
         found = []
         if left.num_rows and right.num_rows:
-            a_id, b_id = left.column("node").to_pylist(), right.column("node2").to_pylist()
+            a_root, b_root = left.column("root").to_pylist(), right.column("root2").to_pylist()
             a, b = _matrix(left.column("sign")), _matrix(right.column("sign2"))
             names, label = np.unique(np.r_[left.column("root").to_numpy(), right.column("root2").to_numpy()], return_inverse=True)
-            a_class, b_class = label[:len(a_id)].copy(), label[len(a_id):].copy()
+            a_class, b_class = label[:len(a_root)].copy(), label[len(a_root):].copy()
             sets: dict[int, np.ndarray] = {}
             blobs = right.column("shingles2").to_pylist()
             for i, blob in enumerate(left.column("shingles").to_pylist()):
@@ -175,7 +175,7 @@ def _link_across(least: np.ndarray, percent: int):
                     if j not in sets:
                         sets[j] = P.unpack_sorted(blobs[j])
                     if _similar(own, sets[j], percent):
-                        found.append((a_id[i], b_id[j]))
+                        found.append((a_root[i], b_root[j]))
                         was, now = b_class[j], a_class[i]
                         a_class[a_class == was] = now
                         b_class[b_class == was] = now
@@ -272,15 +272,17 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MIS
         own = each.join(major, "grp").join(nodes.select("node", "sign"), "node").join(_sets(each.select("node"), nodes, source, size), "node")
         own = P.stored(own.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "groups")
         # every member is sent once, in blocks; those outside the largest class of the group to every block
-        right = own.select(F.col("grp").alias("grp2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("shingles").alias("shingles2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
+        right = own.select(F.col("grp").alias("grp2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("shingles").alias("shingles2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
         left = own.where("root <> major").select("grp", "node", "root", "sign", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
         extra = left.groupBy("grp", "i").cogroup(right.groupBy("grp2", "i2")).applyInArrow(_link_across(least, percent), "u long, v long")
-        # classes are stars already: only what joins them is new
-        root = roots(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra))
-    # the root itself isn't listed as a node of its class
-    whole = root.select("root").distinct().select(F.col("root").alias("node"), "root").unionByName(root)
-    named = whole.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    class_of = whole.join(named, "root").select("node", "component_id").unionByName(nodes.join(whole, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
+        # only the roots of classes that are joined get another one, and with them their members
+        new = roots(extra)
+        moved = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        root = root.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")).unionByName(new)
+    # a root isn't listed as a node of its class, nor is a node without links
+    whole = P.stored(nodes.select("node", "doc_id").join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "classes")
+    named = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    class_of = whole.join(named, "root").select("node", "component_id")
     out = sketches.select("doc_id", "n_shingles", "node").join(class_of, "node", "left")
     # an empty set is linked with nothing
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
