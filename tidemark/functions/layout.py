@@ -40,3 +40,20 @@ def person(track: Column) -> Column:
 
 def plain_dashes(title: Column) -> Column:
     return F.translate(title, "–—", "--")
+
+
+def caption_text(text: Column) -> Column:
+    """Text that a subtitle shows as typed: braces escaped, a backslash parted from what follows, newlines as breaks."""
+    apart = F.replace(text, F.lit("\\"), F.lit("\\\u200b"))
+    return F.replace(F.replace(F.replace(F.replace(apart, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\\N"))
+
+
+# Characters and device names that file names can't have.
+_RESERVED, _DEVICES = r'[<>:"/\\|?*\x00-\x1F]', r"(?i)^(CON|PRN|AUX|NUL|(COM|LPT)[1-9])(\.|$)"
+
+
+def segment_name(raw: Column, fallback: str, chars: int) -> Column:
+    """A part of a file name: reserved characters as _, blanks single, at most `chars` characters, no dot or blank at an end; the fallback for null or nothing."""
+    one = F.regexp_replace(F.regexp_replace(raw, _RESERVED, "_"), r"\p{IsWhite_Space}+", " ")
+    cut = F.regexp_replace(F.substring(F.trim(one), 1, chars), r"^[.\p{IsWhite_Space}]+|[.\p{IsWhite_Space}]+$", "")
+    return F.when(F.coalesce(cut, F.lit("")) == "", F.lit(fallback)).when(F.rlike(cut, F.lit(_DEVICES)), F.concat(F.lit("_"), cut)).otherwise(cut)

@@ -122,3 +122,37 @@ def forced_alignment(emissions: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["clip", "pos", "token", "first_frame", "last_frame"])
 
     return emissions.select("clip", "logp", "targets").mapInPandas(run, "clip long, pos long, token long, first_frame long, last_frame long")
+
+
+# Seconds below which a word is a flash, and the most that one is given.
+FLASH_S, ROOM_S = 0.15, 0.5
+
+
+def respread(texts: list[str], starts: list[float], ends: list[float], long: float) -> tuple[list[float], list[float]]:
+    """Runs of flashes are spread by their characters over the free time before the word that follows, if there is more than they need."""
+    starts, ends = list(starts), list(ends)
+    flash = [b - a < FLASH_S for a, b in zip(starts, ends, strict=True)] + [False]
+    first = None
+    for k, short in enumerate(flash):
+        if short:
+            first = k if first is None else first
+        elif first is not None:
+            low, high = ends[first - 1] if first else 0.0, starts[k] if k < len(texts) else long
+            if high - low > (k - first) * FLASH_S:
+                size = [max(1, len(t)) for t in texts[first:k]]
+                room = min((k - first) * ROOM_S, high - low)
+                edges = high - room + room * np.r_[0, np.cumsum(size)] / sum(size)
+                starts[first:k], ends[first:k] = edges[:-1].tolist(), np.minimum(edges[1:], high).tolist()
+            first = None
+    return starts, ends
+
+
+def flash_respread(words: DataFrame, by: str, long: str) -> DataFrame:
+    """Words (by, idx, text, start_s, end_s, and the clip's length) with the times of respread()."""
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("idx")
+        a, b = respread(p["text"].fillna("").tolist(), p["start_s"].tolist(), p["end_s"].tolist(), float(p[long].iloc[0]))
+        return p.assign(start_s=a, end_s=b)[[by, "idx", "text", "start_s", "end_s"]]
+
+    own = words.select(by, F.col("idx").cast("long").alias("idx"), F.col("text").cast("string").alias("text"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), long)
+    return own.groupBy(by).applyInPandas(run, own.drop(long).schema)

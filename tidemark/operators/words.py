@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,44 @@ def error_counts(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "ok", "sub", "del", "ins", "wer"])
 
     return pairs.select("id", "want", "got").mapInPandas(run, "id long, ok long, sub long, del long, ins long, wer double")
+
+
+#: Entries that a store of phrases may have; it is a list kept by hand, sent to every task.
+MOST_PHRASES = 100_000
+_EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_TAIL = regex.compile(r"[^\p{L}\p{N}]*$")
+
+
+def collapse(units: list[tuple[str, float, float, float]], phrases: list[tuple[list[str], str]]) -> list[tuple[str, float, float, float]]:
+    """Units (text, start, end, confidence) in which each phrase, in the order given and from the left, becomes one unit."""
+    units = list(units)
+    cores = [_EDGE.sub("", u[0]).lower() for u in units]
+    for words, right in phrases:
+        n, k = len(words), 0
+        while words[0] in cores[k:] and (k := cores.index(words[0], k)) + n <= len(units):
+            if cores[k:k + n] == words:
+                run = units[k:k + n]
+                text = right + _TAIL.search(run[-1][0]).group()
+                units[k:k + n] = [(text, run[0][1], run[-1][2], min(u[3] for u in run))]
+                cores[k:k + n] = [_EDGE.sub("", text).lower()]
+            k += 1
+    return units
+
+
+def phrase_collapse(units: DataFrame, by: str, store: DataFrame) -> DataFrame:
+    """Units (by, idx, text, start_s, end_s, confidence) with the phrases of a store (pos, wrong, right) collapsed; idx is counted anew from 0.
+
+    Entries of one word and empty ones are passed over.  Null text is empty.  A
+    store of more than MOST_PHRASES entries is an error."""
+    rows = store.where("coalesce(wrong, '') <> '' AND coalesce(right, '') <> ''").select("pos", "wrong", "right").limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"the store has more than {MOST_PHRASES} entries")
+    phrases = [(w, r.right) for r in sorted(rows) if len(w := r.wrong.lower().split()) > 1]
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("idx")
+        out = collapse(list(zip(p["text"].fillna(""), p["start_s"], p["end_s"], p["confidence"], strict=True)), phrases)
+        return pd.DataFrame([(p[by].iloc[0], k, *u) for k, u in enumerate(out)], columns=[by, "idx", "text", "start_s", "end_s", "confidence"])
+
+    own = units.select(by, F.col("idx").cast("long").alias("idx"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("double").alias(c) for c in ("start_s", "end_s", "confidence")))
+    return own.groupBy(by).applyInPandas(run, own.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import layout as L
 from tidemark.functions import text as T
-from tidemark.operators import intervals, moments, sentences, sequences, stores, words
+from tidemark.operators import captions, intervals, moments, sentences, sequences, stores, waves, words
 from tidemark.operators import series as S
 
 BINS, HOUR = 720, 3_600_000_000
@@ -384,4 +384,65 @@ def clip_moment_link(spark, d):
     return intervals.first_within(e.where("series_id = 'click'").select("user_id", "event_id", "t"), m, "user_id", "event_id", "moment", 1.0, 7200.0).select("user_id", "event_id", "moment")
 
 
+_NAME = r"""WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS one FROM pages), b AS (SELECT page_id, regexp_replace(one[:40], '^[.\s\p{Z}]+|[.\s\p{Z}]+$', '', 'g') AS cut FROM a) SELECT page_id, CASE WHEN coalesce(cut, '') = '' THEN 'page' WHEN regexp_matches(cut, '(?i)^(CON|PRN|AUX|NUL|(COM|LPT)[1-9])(\.|$)') THEN '_' || cut ELSE cut END AS name FROM b"""
+
+
+@query(_NAME)
+def segment_names(spark, d):
+    return table(spark, d, "pages").select("page_id", L.segment_name(F.col("url"), "page", 40).alias("name"))
+
+
+_ASS_TIME = "printf('%d:%02d:%02d.%02d', {0} // 360000, {0} // 6000 % 60, {0} // 100 % 60, {0} % 100)"
+_ASS_TEXT = "replace(replace(replace(replace(replace(text, '\\', '\\' || chr(8203)), '{', '\\{'), '}', '\\}'), chr(13), ''), chr(10), '\\N')"
+
+
+@query(f"WITH {_TURNS}, e AS (SELECT conv_id, idx, (idx % 2)::INT AS layer, start_s, text, round(start_s * 100)::BIGINT AS a, round(end_s * 100)::BIGINT AS b FROM u), l AS (SELECT conv_id, layer, start_s, idx, 'Dialogue: ' || layer || ',' || {_ASS_TIME.format('a')} || ',' || {_ASS_TIME.format('b')} || ',Caption,,0,0,0,,' || {_ASS_TEXT} || chr(10) AS line FROM e) SELECT conv_id, count(*) AS n_lines, md5(string_agg(line, '' ORDER BY layer, start_s, idx)) AS document_md5 FROM l GROUP BY 1")
+def subtitle_documents(spark, d):
+    """Without the head, which is a constant."""
+    lines = turns(spark, d).withColumn("layer", (F.col("idx") % 2).cast("int"))
+    return captions.documents(lines, "conv_id", top="").select("conv_id", "n_lines", F.md5("document").alias("document_md5"))
+
+
+def _spoken(spark, d):
+    """Every word of the turns, in order; a word takes 0.1 to 0.5 seconds."""
+    w = turns(spark, d).select("conv_id", F.col("idx").alias("turn"), "start_s", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    a = F.col("start_s") + F.col("k") * 0.5
+    return w.select("conv_id", (F.col("turn") * 100_000 + F.col("k")).alias("idx"), "text", a.alias("start_s"), (a + 0.1 + (F.length("text") % 5) * 0.1).alias("end_s"), ((F.length("text") % 7) / 7.0).alias("confidence"))
+
+
+@query()
+def phrase_collapse(spark, d):
+    """A sequential rule, tested by cases: the second and third word of each benchmark text are a phrase."""
+    b = table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("pos"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("wrong"))
+    return words.phrase_collapse(_spoken(spark, d), "conv_id", b.withColumn("right", F.upper(F.replace("wrong", F.lit(" "), F.lit("-")))))
+
+
+@query()
+def flash_respread(spark, d):
+    """A sequential rule, tested by cases."""
+    w = _spoken(spark, d)
+    long = w.groupBy("conv_id").agg((F.max("end_s") + 1).alias("long"))
+    return sequences.flash_respread(w.join(long, "conv_id"), "conv_id", "long")
+
+
+def _sound(spark, d):
+    """Each vector as 2,048 samples: its values, 32 times over, on a falling line."""
+    e = table(spark, d, "embeddings").where("size(embedding) = 64")
+    return e.select("vec_id", F.expr("transform(sequence(0, 2047), i -> cast(embedding[i % 64] AS double) * (1 - i / 4096))").alias("samples"))
+
+
+@query()
+def mel_filter_banks(spark, d):
+    """Tested against a plain discrete Fourier sum."""
+    return waves.filter_banks(_sound(spark, d), "vec_id")
+
+
+@query()
+def envelope_offsets(spark, d):
+    """Each vector's values as loudness of 64 bins of 2048 samples, and the last three quarters as the take; tested by planted offsets."""
+    e = table(spark, d, "embeddings").where("size(embedding) = 64")
+    whole = e.select("vec_id", F.expr("transform(sequence(0, 64 * 512 - 1), i -> cast(embedding[i div 512] AS double))").alias("whole"))
+    return waves.offsets(whole.withColumn("take", F.expr("slice(whole, 8193, 24576)")), "vec_id")
+
+
 FLAGSHIP = detect_moments
