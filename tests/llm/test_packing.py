@@ -86,3 +86,26 @@ def test_small_windows_nulls_repeats_empty(spark):
     padded, _ = checked(spark, docs, 16)
     assert padded == 0
     assert K.pack(docs.limit(0), FILE).count() == 0
+
+
+def test_hot_lengths_need_no_padding():
+    r = random.Random(3)
+    cases = [{1500: 100}, {1500: 10_000}, {1500: 10_000, 952: 3}, {n: 500 for n in range(1025, 1100)}, {2047: 100_000, 1: 5}]
+    for n in (300, 3_000, 30_000):
+        counts = {1500: n // 3}
+        for _ in range(n - n // 3):
+            x = r.randint(1, 2047)
+            counts[x] = counts.get(x, 0) + 1
+        cases.append(counts)
+    for counts in cases:
+        rows, sequences, tail = K.plan_rows(counts, 2048)
+        filled = sum((high - low) * cut for _, low, high, _, cut, first, *_ in rows if first >= 0)
+        assert filled == 2048 * sequences and filled + tail == sum(n * c for n, c in counts.items())
+        assert tail <= 64 * 2048
+
+
+def test_copies_of_a_hot_length_are_cut_whole(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([*((i, text) for i in range(3_000)), *((None, f"{text} {i % 3}") for i in range(300)), (7, text)], "doc_id long, text string")
+    padded, total = checked(spark, docs, 19)
+    assert padded == 0 and total > 64 * 19

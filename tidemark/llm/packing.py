@@ -12,9 +12,11 @@ copies, so that counts are respected.  The highest bit is the best fill, and
 walking the saved bitsets backwards gives the counts of each length.  A filling
 is used as often as its counts last, so the plan has few distinct fillings.
 
-The last windows that can't be filled are laid end to end and cut again: whole
+A window whose best fill has slack is closed by a cut: as many ids are cut from
+the front of a longer remainder, and what is left of it is a remainder again.
+The last 64 windows that can't be filled are laid end to end and cut again: whole
 windows first, then pieces whose lengths are powers of two, which need no
-padding.  Only the few documents in them are tokenised a second time.
+padding.  The ids of remainders are stored, so no document is tokenised twice.
 
 Documents: null text is empty (only the end id); rows without doc_id are packed
 like others; rows that repeat a doc_id are documents of their own; further
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import packed as P
 
 SIZE, END = 2048, 1
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot int, loose boolean"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _ENCODERS: dict = {}
 
 
@@ -97,35 +100,127 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Fillings and how often each is used; and the lengths of windows that can't be filled."""
+    """Fillings and how often each is used; and the lengths of what is laid end to end.
+
+    A filling may hold a length n as (n, s): s ids are cut from the front of one
+    piece of n, and n - s are left as a piece of their own."""
     left = {n: c for n, c in counts.items() if c > 0}
+    total = sum(n * c for n, c in left.items())
     fills = []
     while left:
-        fill = best_fill(left, size)
-        if sum(n * c for n, c in fill.items()) < size:
+        fill: dict = best_fill(left, size)
+        slack = size - sum(n * c for n, c in fill.items())
+        need = fill
+        if slack:
             # a window with slack: from here on the rest is too small to be worth a search
-            if sum(n * c for n, c in left.items()) <= 64 * size or sum(n * c for n, c in fill.items()) < size // 2:
+            if total <= 64 * size:
                 break
-        times = min(left[n] // c for n, c in fill.items())
+            # all lengths outside the filling are longer than the slack, or it would be a better one; of these the most frequent closes the window
+            donor = max((n for n, c in left.items() if c > fill.get(n, 0)), key=lambda n: (left[n] // (fill.get(n, 0) + 1), n))
+            need = fill | {donor: fill.get(donor, 0) + 1}
+            fill = fill | {(donor, slack): 1}
+        times = min(left[n] // c for n, c in need.items())
         fills.append((fill, times))
-        for n, c in fill.items():
+        total -= size * times
+        for n, c in need.items():
             left[n] -= c * times
             if not left[n]:
                 del left[n]
+        if slack:
+            left[donor - slack] = left.get(donor - slack, 0) + times
     return fills, left
 
 
+class _Pool:
+    """The pieces of each length: ranks [low, high) of an original length, from their id `at` on."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.runs = {n: deque([(n, 0, c, 0)]) for n, c in counts.items() if c > 0}
+
+    def put(self, length: int, runs: list[tuple[int, int, int, int]]) -> None:
+        self.runs.setdefault(length, deque()).extend(runs)
+
+    def take(self, length: int, n: int) -> list[tuple[int, int, int, int]]:
+        out, own = [], self.runs[length]
+        while n:
+            origin, low, high, at = own.popleft()
+            if high - low > n:
+                own.appendleft((origin, low + n, high, at))
+                high = low + n
+            out.append((origin, low, high, at))
+            n -= high - low
+        return out
+
+
+def plan_rows(counts: dict[int, int], size: int) -> tuple[list[tuple[int, ...]], int, int]:
+    """Where pieces go; the number of sequences; and how many ids are left to be laid end to end.
+
+    A row: of ranks [low, high) of a length, `cut` ids from `at` on go to sequences
+    from `first` on, `each` to a sequence, the first at `offset`; `skip` others of
+    the same place come before.  Rows with `first` -1 are laid end to end from `offset` on."""
+    counts = dict(counts)
+    whole = counts.pop(size, 0)
+    fills, left = plan(counts, size)
+    rows, pool, sequence = [(size, 0, whole, 0, size, 0, 1, 0, 0)] if whole else [], _Pool(counts), whole
+
+    def place(runs, cut, first, each, offset):
+        skip = 0
+        for origin, low, high, at in runs:
+            rows.append((origin, low, high, at, cut, first, each, offset, skip))
+            skip += high - low
+
+    for fill, times in fills:
+        offset, rests = 0, []
+        for n, c in fill.items():
+            length, cut = n if isinstance(n, tuple) else (n, n)
+            runs = pool.take(length, c * times)
+            place(runs, cut, sequence, c, offset)
+            if cut < length:
+                rests.append((length - cut, [(origin, low, high, at + cut) for origin, low, high, at in runs]))
+            offset += cut * c
+        for length, runs in rests:
+            pool.put(length, runs)
+        sequence += times
+    offset = 0
+    for n, c in sorted(left.items()):
+        place(pool.take(n, c), n, -1, 1, offset)
+        offset += n * c
+    return rows, sequence, offset
+
+
 def _first_pass(vocabulary: str, size: int, end: int):
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encode([text], vocabulary, end)[0]
                 for a in range(0, len(ids), size):
                     piece = ids[a:a + size]
-                    for column, v in zip(rows, (doc, a, len(piece), zlib.crc32(piece.tobytes()), len(ids), 0, False), strict=True):
+                    for column, v in zip(rows, (doc, a, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tobytes() if len(piece) < size else None), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (*(pa.int64(),) * 5, pa.binary()), strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+
+    return run
+
+
+def _cut(edges: list[int], sequence: int):
+    """Pieces of which only some ids go to a place, or that lie across the edges of the last sequences."""
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            names = ("doc_id", "start", "doc_tokens", "ids", "at", "cut", "sequence_id", "offset")
+            for doc, start, tokens, ids, at, cut, to, offset in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                own = np.frombuffer(ids, "<u4")[at:at + cut]
+                lo = 0
+                while lo < cut:
+                    hi, k, begin = cut, to, offset
+                    if to < 0:
+                        k = int(np.searchsorted(edges, offset + lo, "right")) - 1
+                        hi, begin, k = min(edges[k + 1] - offset, cut), offset + lo - edges[k], sequence + k
+                    for column, v in zip(out, (doc, start + at + lo, hi - lo, zlib.crc32(own[lo:hi].tobytes()), tokens, k, begin), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (*(pa.int64(),) * 5, pa.int32(), pa.bool_()), strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot", "loose"])
+                    lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -134,7 +229,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, sal
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = source.mapInArrow(_first_pass(vocabulary, size, end), _PIECES).drop("slot", "loose")
+    pieces = source.mapInArrow(_first_pass(vocabulary, size, end), _PIECES)
     # a length may be that of many documents: its ranks are counted in salted groups, and a row that repeats has the same rank whichever of its copies bears it
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
     pieces = P.stored(pieces.withColumn("salt", salt), "pieces")
@@ -144,64 +239,27 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, sal
     for (length, s), n in sorted(sums.items()):
         base.append((length, s, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
-    whole = counts.pop(size, 0)
-    fills, left = plan(counts, size)
-    # rows of the plan: of a length, ranks [low, high) go to sequences from `first` on, `each` to a sequence, the first at `offset`
-    rows, used, sequence = [(size, 0, whole, 0, 1, 0)] if whole else [], {}, whole
-    for fill, times in fills:
-        offset = 0
-        for n, c in fill.items():
-            low = used.get(n, 0)
-            rows.append((n, low, low + c * times, sequence, c, offset))
-            used[n] = low + c * times
-            offset += n * c
-        sequence += times
-    at = 0
-    tail = sum(n * c for n, c in left.items())
-    for n, c in sorted(left.items()):
-        rows.append((n, used.get(n, 0), used.get(n, 0) + c, -1, 1, at))
-        at += n * c
-    # at most size rows, or a few for each length; and salts * size of the bases
-    plan_rows = F.broadcast(spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "p_length long, low long, high long, first long, each long, p_offset long"))
+    rows, sequence, tail = plan_rows(counts, size)
+    # a few rows for each length; and salts * size of the bases
+    places = F.broadcast(spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 0, 1, 0, 0)], "p_length long, low long, high long, at long, cut long, first long, each long, p_offset long, skip long"))
     bases = F.broadcast(spark.createDataFrame(base or [(0, 0, 0)], "b_length long, b_salt int, base long"))
+    # the ids go along only for lengths of which some pieces are cut
+    opened = sorted({r[0] for r in rows if r[4] < r[0] or r[5] < 0})
+    ids = F.when(F.col("length").isin(opened), F.col("ids")) if opened else F.lit(None).cast("binary")
     rank = F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, start, ids_crc32) - 1")
-    ranked = pieces.withColumn("rank", rank).join(bases, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt"))).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(plan_rows, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    nth = F.expr("(rank - low)")
-    done = placed.where("first >= 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.expr("(rank - low) div each")).alias("sequence_id"), (F.col("p_offset") + F.expr("((rank - low) % each) * length")).alias("offset"))
-    if not tail:
+    ranked = pieces.withColumn("ids", ids).withColumn("rank", rank).join(bases, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt"))).withColumn("rank", F.col("rank") + F.col("base"))
+    placed = ranked.join(places, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).withColumn("nth", F.expr("rank - low + skip"))
+    kept = (F.col("cut") == F.col("length")) & (F.col("first") >= 0)
+    done = placed.where(kept).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.expr("nth div each")).alias("sequence_id"), (F.col("p_offset") + F.expr("(nth % each) * length")).alias("offset"))
+    if not opened:
         return done
-    cuts = tail_cuts(tail, size)
-    loose = placed.where("first < 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("p_offset") + nth * F.col("length")).alias("at"))
-    # at most 64 windows of ids: bounded whatever the input
-    few = F.broadcast(loose.groupBy(F.col("doc_id").alias("l_doc"), F.col("doc_tokens").alias("l_tokens"), F.col("ids_crc32").alias("l_crc"), F.col("start").alias("l_start")).agg(F.collect_list("at").alias("ats")))
     edges = [0]
-    for n in cuts:
+    for n in tail_cuts(tail, size):
         edges.append(edges[-1] + n)
-
-    def second(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            # one row for each copy of a document; every `at` is given out once, by number of the copy
-            for doc, text, tokens, crc, start, ats, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "l_tokens", "l_crc", "l_start", "ats", "copy")), strict=True):
-                ids = encode([text], vocabulary, end)[0]
-                own = ids[start:]
-                if len(ids) != tokens or zlib.crc32(own.tobytes()) != crc or copy > len(ats):
-                    continue
-                at = sorted(ats)[copy - 1]
-                lo = at
-                while lo < at + len(own):
-                    k = int(np.searchsorted(edges, lo, "right")) - 1
-                    hi = min(edges[k + 1], at + len(own))
-                    piece = own[lo - at:hi - at]
-                    for column, v in zip(out, (doc, start + lo - at, hi - lo, zlib.crc32(piece.tobytes()), tokens, sequence + k, lo - edges[k]), strict=True):
-                        column.append(v)
-                    lo = hi
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    matched = source.join(few, F.col("doc_id").eqNullSafe(F.col("l_doc")))
-    copies = matched.withColumn("copy", F.expr("row_number() OVER (PARTITION BY doc_id, l_tokens, l_crc, text ORDER BY l_start)"))
-    again = copies.mapInArrow(second, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    to = F.when(F.col("first") < 0, -1).otherwise(F.col("first") + F.expr("nth div each")).alias("sequence_id")
+    offset = F.when(F.col("first") < 0, F.col("p_offset") + F.expr("nth * cut")).otherwise(F.col("p_offset") + F.expr("(nth % each) * cut")).alias("offset")
+    loose = placed.where(~kept).select("doc_id", "start", "doc_tokens", "ids", "at", "cut", to, offset)
+    again = loose.mapInArrow(_cut(edges, sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return done.unionByName(again)
 
 
