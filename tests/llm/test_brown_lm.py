@@ -83,3 +83,18 @@ def test_words_of_a_context_sum_to_one():
     emit[words:words + B.SHAPES] *= sums[0, :B.SHAPES]  # the counts of a shape's words sum to its tokens
     for c in range(len(model.step)):
         assert (10**model.step[c, model.label] * emit).sum() == pytest.approx(1)
+
+
+def test_exchange_goes_on_until_no_word_moves():
+    r = np.random.default_rng(5)
+    kind = r.integers(0, 8, 100)
+    p = r.gamma(0.3, 1, (8, 8))
+    m = r.poisson(p[kind][:, kind] * 0.3).astype(float)
+    label = B.exchange(m, 100, 8, np.empty(0, int))
+    best = likelihood(m, label)
+    for w in range(100):
+        for c in range(8):
+            other = label.copy()
+            other[w] = c
+            if len(set(other)) == 8:
+                assert likelihood(m, other) <= best + 1e-6

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import packed as P
 from tidemark.llm.suffix_dedup import _rows
 
-#: Words that are clustered, their classes, and sweeps of the exchange at most.
-FREQUENT, CLASSES, SWEEPS = 1000, 48, 12
+#: Words that are clustered, and their classes.
+FREQUENT, CLASSES = 1000, 48
 SHAPES = 18
 TAU = 5.0
 #: The end token's key; a word has this hash with a chance of 2**-64.
@@ -217,8 +217,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each id.  Ids below `words` (most frequent first) move among the classes [0, classes); the class of others is fixed."""
+def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray) -> np.ndarray:
+    """Class of each id.  Ids below `words` (most frequent first) move among the classes [0, classes) until none moves; the class of others is fixed."""
     n = len(bigrams)
     label = np.r_[np.arange(words) % max(1, classes), fixed].astype(np.int64)
     k = int(max(label.max(initial=0) + 1, classes))
@@ -227,7 +227,10 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray, s
     m = bigrams.astype(float)
     right, left = m @ onehot, m.T @ onehot  # of each id with each class after and before it
     cells = onehot.T @ right
-    for _ in range(sweeps):
+    # a move has to gain more than rounding can feign, or words could move in circles
+    least = 1e-9 + 1e-14 * float(_xlogx(m.sum()))
+    moved = 1
+    while moved:
         moved = 0
         for w in range(words):
             a, s = label[w], m[w, w]
@@ -246,7 +249,7 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray, s
             gain -= _xlogx(rows + r.sum() + s) - _xlogx(rows) + _xlogx(cols + l.sum() + s) - _xlogx(cols)
             # a row of class b also meets column b of others: those sums are unchanged but for b itself
             b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             cells[b] += r
             cells[:, b] += l
@@ -258,8 +261,6 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray, s
                 right[:, b] += m[:, w]
                 left[:, a] -= m[w]
                 left[:, b] += m[w]
-        if not moved:
-            break
     return label
 
 
