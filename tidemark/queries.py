@@ -352,10 +352,47 @@ def word_error_rates(spark, d):
     return words.error_counts(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("got"), before.alias("want")))
 
 
+def _every_word(texts, *keys):
+    """The words between white space of every text, by number k from 0, and how many n the text has."""
+    own = texts.select(*keys, F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
+    return own.select(*keys, F.size("w").alias("n"), F.posexplode("w").alias("k", "word"))
+
+
+def _benchmark_words(spark, d):
+    w = _every_word(table(spark, d, "benchmark"), "item_id")
+    return w.select((F.col("item_id").cast("long") * 100_000 + F.col("k")).alias("pos"), F.lower("word").alias("word"))
+
+
+@query()
+def harvest_whole_texts(spark, d):
+    """harvest_candidates over every word of the turns and of the known texts; its SQL has one word of each."""
+    w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
+    unsure = w.select(F.col("conv_id").alias("clip"), (F.col("turn").cast("long") * 100_000 + F.col("k")).alias("idx"), "word", (((F.col("conv_id") * 7 + F.col("turn") * 13 + F.col("k") * 29) % 100) / 100.0).alias("confidence"))
+    return stores.harvested(unsure, _benchmark_words(spark, d).select("word"), 0.5, 4, 8)
+
+
+@query()
+def fuzzy_store_whole_texts(spark, d):
+    """fuzzy_store_join over every word of the turns, the store and the dictionary; its SQL has one word of each."""
+    w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
+    b = _benchmark_words(spark, d)
+    store = b.select("pos", F.col("word").alias("wrong"), F.concat(F.lit("r"), F.col("pos").cast("string")).alias("right"))
+    return words.fuzzy(w.select(((F.col("conv_id") * 1000 + F.col("turn")) * 100_000 + F.col("k")).alias("id"), F.lower("word").alias("token")), store, b.select("word"))
+
+
+@query()
+def text_cores_whole_texts(spark, d):
+    """The cores of text_cores for every word; its SQL has the first one."""
+    w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
+    return w.select("turn", "conv_id", "k", T.core(F.col("word")).alias("core"))
+
+
 @query()
 def caption_line_groups(spark, d):
-    """The first word of each turn, as captions of a conversation."""
-    w = turns(spark, d).select("conv_id", "idx", F.split_part("text", F.lit(" "), F.lit(1)).alias("text"), "start_s", "end_s")
+    """Every word of the turns, as captions of a conversation; the words of a turn share its time evenly, and a turn without words has no caption."""
+    w = _every_word(turns(spark, d), "conv_id", "idx", "start_s")
+    step = 2.0 / F.col("n")
+    w = w.select("conv_id", (F.col("idx") * 100_000 + F.col("k")).alias("idx"), F.col("word").alias("text"), (F.col("start_s") + F.col("k") * step).alias("start_s"), (F.col("start_s") + (F.col("k") + 1) * step).alias("end_s"))
     return sequences.caption_lines(w, "conv_id")
 
 
