@@ -109,3 +109,16 @@ def test_copies_of_a_hot_length_are_cut_whole(spark):
     docs = spark.createDataFrame([*((i, text) for i in range(3_000)), *((None, f"{text} {i % 3}") for i in range(300)), (7, text)], "doc_id long, text string")
     padded, total = checked(spark, docs, 19)
     assert padded == 0 and total > 64 * 19
+
+
+def test_special_tokens_as_the_library_by_default(spark):
+    library = Tokenizer.from_file(FILE)
+    texts = ["<|endoftext|> a", "a  <|endoftext|>\n b<|endoftext|><|endoftext|>", "<|endoftext", "plain  text\n 1"]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in K.encode(texts, FILE, special=True)] == want
+    got = {}
+    for x in K.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), FILE).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.length, x.ids_crc32, x.doc_tokens))
+    for doc, t in enumerate(want):
+        assert sum(n for _, n, _, _ in got[doc]) == len(t)
+        assert all(crc == zlib.crc32(np.array(t[a:a + n], "<u4").tobytes()) and k == len(t) for a, n, crc, k in got[doc])

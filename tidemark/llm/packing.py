@@ -53,20 +53,23 @@ def _encoder(vocabulary: str):
         from public_tokenizers import PATTERN
 
         with open(vocabulary, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
         # the printable stand-ins of bytes in byte-level BPE files
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stand = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(stand[c] for c in token): i for token, i in vocab.items() if all(c in stand for c in token)}
-        special = [i for token, i in vocab.items() if token.startswith("<|") and token.endswith("|>")]
-        ranks = {t: i for t, i in ranks.items() if i not in special}
-        _ENCODERS[vocabulary] = tiktoken.Encoding(base64.b32encode(vocabulary.encode()).decode(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {t: i for t, i in ranks.items() if i not in special.values()}
+        _ENCODERS[vocabulary] = tiktoken.Encoding(base64.b32encode(vocabulary.encode()).decode(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[vocabulary]
 
 
-def encode(texts: list[str | None], vocabulary: str, end: int = END) -> list[np.ndarray]:
+def encode(texts: list[str | None], vocabulary: str, end: int = END, special: bool = False) -> list[np.ndarray]:
+    """Ids of each text and the end id.  With `special`, the file's added tokens in a text have their own ids, as in the library's default; else they are ordinary text."""
     encoder = _encoder(vocabulary)
-    return [np.append(np.array(encoder.encode_ordinary(t or ""), "<u4"), np.array([end], "<u4")) for t in texts]
+    ids = (lambda t: encoder.encode(t, allowed_special="all")) if special else encoder.encode_ordinary
+    return [np.append(np.array(ids(t or ""), "<u4"), np.array([end], "<u4")) for t in texts]
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -193,7 +196,7 @@ def _first_pass(vocabulary: str, size: int, end: int):
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode([text], vocabulary, end)[0]
+                ids = encode([text], vocabulary, end, special=True)[0]
                 for a in range(0, len(ids), size):
                     piece = ids[a:a + size]
                     for column, v in zip(rows, (doc, a, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tobytes() if len(piece) < size else None), strict=True):
