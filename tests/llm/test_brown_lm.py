@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tests.llm.test_near_dups import thue_morse
 from tidemark.llm import brown_lm as B
+from tidemark.llm import packed as P
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,3 +100,18 @@ def test_exchange_goes_on_until_no_word_moves():
             other[w] = c
             if len(set(other)) == 8:
                 assert likelihood(m, other) <= best + 1e-6
+
+
+def test_words_of_equal_polynomial_hash_are_different(spark):
+    x, y = thue_morse()
+    rows = [(k, f"{x} a {y if k % 3 else x}") for k in range(1, 25)]
+    want = brute(rows)
+    for r in B.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        held, n, known, total, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(score, rel=1e-9)
+
+
+def test_pairs_that_share_a_half():
+    low, high = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 2, 1, 9], np.uint64)
+    a, b, first, number = P.distinct(low, high)
+    assert a.tolist() == [3, 5, 5] and b.tolist() == [9, 1, 2] and number.tolist() == [1, 0, 2, 1, 0] and first.tolist() == [1, 0, 2]

@@ -59,6 +59,14 @@ def test_proximity(spark):
     b = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = D.keyed(d)
     lookup = D.rare_terms(D.windows(b), docs)
-    near = D.near_matches(D.index(docs, lookup), lookup, 2)
+    near = D.near_matches(D.index(docs, lookup.select("term").distinct()), lookup, 2)
     got = {x.doc_id for x in near.join(docs, "doc_key").collect()}
     assert got == {1, 2}
+
+
+def test_clean_by_row_with_clashing_columns(spark):
+    rows = [(1, "a b c"), (1, "quite another text"), (2, "x"), (2, "x"), (3, None), (4, "say a b c now")]
+    d = spark.createDataFrame([(*r, k, k, k, k) for k, r in enumerate(rows)], "doc_id long, text string, _bad int, own int, at int, of int")
+    b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    got = D.clean(d, b)
+    assert got.columns == d.columns and sorted(x._bad for x in got.collect()) == [1, 2, 3, 4]

@@ -1,9 +1,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests.llm.test_near_dups import thue_morse
 from tests.llm.test_suffix_dedup import made
 from tidemark.llm import fingerprint_log as L
+from tidemark.llm import packed as P
 
 
 def brute(rows, n=20):
@@ -35,3 +38,26 @@ def test_texts_nulls_repeats_empty(spark):
     got = sorted((x.doc_id, x.n_removed, x.kept_text) for x in L.dedup(docs).collect())
     assert got == [(1, 0, text), (2, 25, ""), (2, 25, ""), (3, 0, "")]
     assert L.dedup(docs.limit(0)).count() == 0
+
+
+def test_words_of_equal_polynomial_hash_are_different(spark):
+    x, y = thue_morse()
+    common = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{x} {common}"), (2, f"{y} {common}"), (3, f"{y} {common} more"), (-9 * 10**18, "a b c"), (9 * 10**18, f"{x} {common}")]
+    got = sorted(tuple(r) for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=False).collect())
+    assert got == brute(rows)
+
+
+def test_a_later_job_goes_on_with_the_index(spark, tmp_path):
+    rows = made(7)
+    rows.sort()
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    old, n = P.with_blocks(docs(rows[:40]))
+    new = P.with_blocks(docs(rows[40:]))[0].withColumn("block", F.col("block") + n)
+    at = f"file://{tmp_path}/log"
+    first = L.FingerprintLog(spark, at).append(old, old.limit(0), 0, texts=False).collect()
+    log = L.FingerprintLog(spark, at)
+    assert log.version == 1 and len(log.runs) == 1
+    second = log.append(new, old, n, texts=False).collect()
+    assert sorted(tuple(r) for r in first + second) == brute(rows)
+    assert L.FingerprintLog(spark, at).version == 2

@@ -45,3 +45,14 @@ def test_odd_vectors(spark):
     assert H.search(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)], "vec_id long, embedding array<double>")
     assert [x.vec_id for x in H.search(same).where("query_id = 50").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_an_odd_dimension_with_the_smallest_id(spark):
+    rows = [(-7, [1.0, 2.0, 3.0])] + [(k, [float(k + 1), 1.0]) for k in range(60)]
+    got = {x.query_id for x in H.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0, 50}
+
+
+def test_buckets_follow_the_vectors():
+    sizes = [n / H.bucket_count(n) for n in (10**5, 10**6, 10**7, 10**9)]
+    assert max(sizes) <= H.PER_BUCKET and H.bucket_count(10**9) == 50_000

@@ -28,9 +28,13 @@ def test_naive_bayes_as_by_hand():
         n = np.full(L.BUCKETS, L.ALPHA)
         np.add.at(n, L.features([t])[0].ravel(), 1)
         counts[lang] = np.log(n / n.sum())
-    model = L.Model(["x", "y"], np.array([counts["x"], counts["y"]], np.float32))
+    prior = np.log([0.25, 0.75])
+    model = L.Model(["x", "y"], prior, np.array([counts["x"], counts["y"]], np.float32))
     names, scores = model.predict([b"aba", b"bcb b", b"!!", b""])
-    assert names == ["x", "y", "und", "und"] and scores[2:].tolist() == [0, 0] and (scores[:2] > 0.5).all()
+    assert names == ["x", "y", "und", "und"] and scores[2:].tolist() == [0, 0]
+    for t, s in zip(texts, scores):
+        sums = [p + counts[k][L.features([t])[0].ravel()].sum() for p, k in zip(prior, "xy")]
+        assert abs(s - 1 / np.exp(np.array(sums) - max(sums)).sum()) < 1e-5
 
 
 def test_null_and_empty(spark):
@@ -38,5 +42,6 @@ def test_null_and_empty(spark):
     got = {x.doc_id: x.lang_pred for x in L.identify(docs).collect()}
     assert got[1] == got[2] == got[5] == "und" and len(got) == 6
     assert L.identify(docs.limit(0)).count() == 0
+    docs = docs.withColumns({c: docs.score for c in ("_found", "_sure", "found", "sure")})
     kept = L.in_known_language(docs)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} <= {3, 4, None}

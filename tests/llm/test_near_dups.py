@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tidemark.llm import near_dups as N
+from tidemark.llm import packed as P
 from tidemark.llm.components import roots
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,6 +67,45 @@ def test_nulls_and_empty(spark):
     assert N.classes(docs.limit(0)).count() == 0
 
 
+def thue_morse(n=1024):
+    """Two different words that have one polynomial hash modulo 2**64, whatever the odd base."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomial_hash_are_different(spark):
+    x, y = thue_morse()
+    rows = [(1, f"{x} {x} {x} {x} {x}"), (2, f"{y} {y} {y} {y} {y}"), (3, " ".join([x] * 9 + list("abcdefghijkl"))), (4, " ".join([y] * 9 + list("abcdefghijkl")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in N.classes(docs).collect()) == brute(rows)
+
+
+def test_one_of_each_by_row_with_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    near, other = text + " more", " ".join(f"v{k}" for k in range(30))
+    rows = [(5, text), (5, other), (7, near), (7, other + " x y"), (9, near), (9, near), (11, "alone in its class today"), (11, "alone in its class today"), (12, ""), (12, ""), (None, text)]
+    docs = spark.createDataFrame([(*r, k, k, k, k) for k, r in enumerate(rows)], "doc_id long, text string, _gone int, doc int, key int, gone int")
+    got = N.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(x.doc_id), x.text) for x in got.collect()) == sorted([("5", text), ("5", other), ("11", "alone in its class today"), ("12", ""), ("12", ""), ("None", text)])
+
+
+@pytest.mark.parametrize("n", [60, 240])
+def test_a_group_that_grows(spark, n, monkeypatch):
+    """Copies that share a bucket with texts just below the threshold."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    r = random.Random(n)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in r.sample(range(60), r.choice([1, 2, 3, 4])):
+            own[at] = f"x{r.randrange(5)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in N.classes(docs).collect()) == brute(rows)
+
+
 def test_pruning_keeps_what_may_be_similar():
     least = N.keep_table(80, 1e-6)
     r = np.random.default_rng(1)
@@ -84,6 +124,6 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((top(a), top(b)))
         up[b] = a
-    got = {x.node: x.root for x in roots(spark.createDataFrame(pd.DataFrame(edges, columns=["u", "v"]))).collect()}
+    got = {x.node: x.root for x in roots(spark.createDataFrame(pd.DataFrame(edges, columns=["u", "v"])), P.Scratch(spark)).collect()}
     nodes = {n for a, b in edges for n in (a, b)}
     assert {n: got.get(n, n) for n in nodes} == {n: top(n) for n in nodes}

@@ -32,3 +32,9 @@ def test_stages_as_brute_force(spark):
     assert {x.doc_id for x in docs.select("doc_id").distinct().collect()} == set(after)
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_a_run_leaves_no_folder_but_its_result(spark):
+    before = corpus_pipeline.packed.made()
+    corpus_pipeline.run(spark, SF)
+    assert len(set(corpus_pipeline.packed.made()) - set(before)) == 1

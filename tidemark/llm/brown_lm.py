@@ -37,7 +37,7 @@ from tidemark.llm.suffix_dedup import _rows
 FREQUENT, CLASSES = 1000, 48
 SHAPES = 18
 TAU = 5.0
-#: The end token's key; a word has this hash with a chance of 2**-64.
+#: The end token's key.
 _END = P.U64(0x0E0D0E0D0E0D0E0D)
 _RUN = "part int, block long, kind int, blob binary"
 _POINT = np.zeros(256, np.int8)
@@ -49,23 +49,24 @@ def learned(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % 10 != 0 for i in ids.tolist()], bool)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and shape of each token, and the first token of each document; the last token of each is the end (shape SHAPES)."""
-    hashes, shapes, first, n = [], [], [np.zeros(1, np.int64)], 0
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits (two hashes) and shape of each token, and the first token of each document; the last token of each is the end (shape SHAPES)."""
+    hashes, seconds, shapes, first, n = [], [], [], [np.zeros(1, np.int64)], 0
     for a, b in P.slices(offsets):
         own = offsets[a:b + 1] - offsets[a]
         low = P.lower_ascii(buf[offsets[a]:offsets[b]])
-        starts, ends, words, begins = P.words_of(low, own)
+        starts, ends, words, second, begins = P.words_of(low, own)
         length = ends - starts
         wide = np.r_[0, np.cumsum(low >= 128)]
         shape = (_POINT[low[ends - 1]] if len(ends) else np.empty(0, np.int8)).astype(np.int64) * 6 + (wide[ends] > wide[starts]) * 3 + (length > 5) + (length > 9)
         # one end after the words of each document
         hashes.append(np.insert(words, begins[1:], _END))
+        seconds.append(np.insert(second, begins[1:], _END))
         shapes.append(np.insert(shape, begins[1:], SHAPES).astype(np.uint8))
         first.append(begins[1:] + np.arange(1, len(begins)) + n)
         n = int(first[-1][-1])
     cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return cat(hashes, P.U64), cat(shapes, np.uint8), np.concatenate(first)
+    return cat(hashes, P.U64), cat(seconds, P.U64), cat(shapes, np.uint8), np.concatenate(first)
 
 
 def _number(n: np.ndarray) -> bytes:
@@ -82,22 +83,22 @@ def _numbers(blob: bytes, n: int) -> tuple[np.ndarray, int]:
 def _count_block(parts: int):
     def run(key, table):
         ids, buf, offsets = P.ordered(table)
-        hashes, shapes, first = tokens(buf, offsets)
-        keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes, seconds, shapes, first = tokens(buf, offsets)
+        keys, checks, index, inverse = P.distinct(hashes, seconds)
         counts = np.bincount(inverse, np.repeat(learned(ids), np.diff(first)), len(keys)).astype(np.int64)
         out = []
         for p, s in P.by_part(keys, parts):
             n = len(keys[s])
-            out.append((p, key[0].as_py(), 0, n.to_bytes(8, "little") + _number(counts[s]) + shapes[index[s]].tobytes() + P.pack_sorted(keys[s])))
+            out.append((p, key[0].as_py(), 0, n.to_bytes(8, "little") + _number(counts[s]) + shapes[index[s]].tobytes() + checks[s].tobytes() + P.pack_sorted(keys[s])))
         return _rows(out)
 
     return run
 
 
-def _read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
     counts, at = _numbers(blob[8:], n)
-    return P.unpack_sorted(blob[8 + at + n:]), counts, np.frombuffer(blob, np.uint8, n, 8 + at)
+    return P.unpack_sorted(blob[8 + at + 9 * n:]), counts, np.frombuffer(blob, np.uint8, n, 8 + at), np.frombuffer(blob, P.U64, n, 8 + at + n)
 
 
 def _sum_part(frequent: int):
@@ -106,7 +107,7 @@ def _sum_part(frequent: int):
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
         runs = [_read_counts(x) for x in table.column("blob").to_pylist()]
-        keys, index, inverse = np.unique(np.concatenate([r[0] for r in runs]), return_index=True, return_inverse=True)
+        keys, checks, index, inverse = P.distinct(*(np.concatenate([r[k] for r in runs]) for k in (0, 3)))
         total = np.bincount(inverse, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
         shape = np.concatenate([r[2] for r in runs])[index]
         edges = np.cumsum([0] + [len(r[0]) for r in runs])
@@ -114,7 +115,7 @@ def _sum_part(frequent: int):
         sums = np.array([np.bincount(shape, w, SHAPES + 1) for w in (total, total > 0, total == 1)]).astype(np.int64)
         words = np.flatnonzero((shape < SHAPES) & (total > 0))
         top = words[np.lexsort((keys[words].view(np.int64), -total[words]))[:frequent]]
-        return _rows([*out, (part, -1, 2, sums.tobytes() + len(top).to_bytes(8, "little") + keys[top].tobytes() + total[top].tobytes() + shape[top].tobytes())])
+        return _rows([*out, (part, -1, 2, sums.tobytes() + len(top).to_bytes(8, "little") + keys[top].tobytes() + checks[top].tobytes() + total[top].tobytes() + shape[top].tobytes())])
 
     return run
 
@@ -122,17 +123,16 @@ def _sum_part(frequent: int):
 def _top_rows(frequent: int):
     """The most frequent words of all parts in a partition."""
     def run(batches):
-        key, count, shape = np.empty(0, P.U64), np.empty(0, np.int64), np.empty(0, np.int32)
+        key, check, count, shape = np.empty(0, P.U64), np.empty(0, P.U64), np.empty(0, np.int64), np.empty(0, np.int32)
         for b in batches:
             for blob in b.column("blob").to_pylist():
                 at = 8 * 3 * (SHAPES + 1)
                 n = int.from_bytes(blob[at:at + 8], "little")
-                key = np.r_[key, np.frombuffer(blob, P.U64, n, at + 8)]
-                count = np.r_[count, np.frombuffer(blob, np.int64, n, at + 8 + 8 * n)]
-                shape = np.r_[shape, np.frombuffer(blob, np.uint8, n, at + 8 + 16 * n).astype(np.int32)]
+                own = [np.frombuffer(blob, kind, n, at + 8 + 8 * n * k) for k, kind in enumerate((P.U64, P.U64, np.int64, np.uint8))]
+                key, check, count, shape = (np.r_[x, y] for x, y in zip((key, check, count, shape), own, strict=True))
                 best = np.lexsort((key.view(np.int64), -count))[:frequent]
-                key, count, shape = key[best], count[best], shape[best]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count), pa.array(shape)], names=["key", "n", "shape"])
+                key, check, count, shape = key[best], check[best], count[best], shape[best]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(count), pa.array(shape.astype(np.int32))], names=["key", "check", "n", "shape"])
 
     return run
 
@@ -150,18 +150,18 @@ def _encode_block(parts: int, shared):
 
     Ids: frequent words, then seen words by shape, unseen words by shape, the end."""
     def run(key, left, right):
-        top, n_all, v_all = shared.value
+        top, top_check, n_all, v_all = shared.value
         ids, buf, offsets = P.ordered(left)
         if not len(ids):
             return pa.table({"kind": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "seen": pa.array([], pa.float64()), "ids": pa.array([], pa.binary())})
-        hashes, shapes, first = tokens(buf, offsets)
-        keys, inverse = np.unique(hashes, return_inverse=True)
+        hashes, seconds, shapes, first = tokens(buf, offsets)
+        keys, checks, _, inverse = P.distinct(hashes, seconds)
         blobs = dict(zip(right.column("part").to_pylist(), right.column("blob").to_pylist(), strict=True))
         count = np.concatenate([_numbers(blobs[p], s.stop - s.start)[0] for p, s in P.by_part(keys, parts)])
         order = np.argsort(top)
         at = np.searchsorted(top[order], keys)
         at = order[np.minimum(at, len(top) - 1)] if len(top) else np.zeros(len(keys), np.int64)
-        frequent = (top[at] == keys) if len(top) else np.zeros(len(keys), bool)
+        frequent = (top[at] == keys) & (top_check[at] == checks) if len(top) else np.zeros(len(keys), bool)
         c = count[inverse]
         f = frequent[inverse]
         code = np.where(f, at[inverse], len(top) + shapes.astype(np.int64) + np.where(c > 0, 0, SHAPES))
@@ -228,7 +228,7 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray) -
     right, left = m @ onehot, m.T @ onehot  # of each id with each class after and before it
     cells = onehot.T @ right
     # a move has to gain more than rounding can feign, or words could move in circles
-    least = 1e-9 + 1e-14 * float(_xlogx(m.sum()))
+    least = 1e-9 + 1e-12 * float(_xlogx(m.sum()))
     moved = 1
     while moved:
         moved = 0
@@ -240,14 +240,14 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, fixed: np.ndarray) -
             cells[a, a] += s
             r[a] -= s
             l[a] -= s
-            rows, cols = cells.sum(1), cells.sum(0)
+            # what comes before w is in the rows of other classes, wherever w goes, and what comes after it in their columns
+            rows, cols = cells.sum(1) + l, cells.sum(0) + r
             logs = _xlogx(cells)
             new_r, new_l = _xlogx(cells + r[None, :]) - logs, _xlogx(cells + l[:, None]) - logs
             d = np.arange(k)
             diagonal = _xlogx(cells[d, d] + r + l + s) - logs[d, d]
             gain = new_r.sum(1) - new_r[d, d] + new_l.sum(0) - new_l[d, d] + diagonal
             gain -= _xlogx(rows + r.sum() + s) - _xlogx(rows) + _xlogx(cols + l.sum() + s) - _xlogx(cols)
-            # a row of class b also meets column b of others: those sums are unchanged but for b itself
             b = int(np.argmax(gain[:classes]))
             if gain[b] <= gain[a] + least:
                 b = a
@@ -304,16 +304,17 @@ def score(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) ->
     counts = blocked.groupBy("block").applyInArrow(_count_block(parts), _RUN)
     summed = P.stored(counts.groupBy("part").applyInArrow(_sum_part(frequent), _RUN), "counts")
     stats = summed.where("kind = 2").select("blob")
-    top = stats.coalesce(max(1, int(parts**0.5))).mapInArrow(_top_rows(frequent), "key long, n long, shape int").orderBy(F.desc("n"), "key").limit(frequent).toPandas()
+    top = stats.coalesce(max(1, int(parts**0.5))).mapInArrow(_top_rows(frequent), "key long, check long, n long, shape int").orderBy(F.desc("n"), "key").limit(frequent).toPandas()
     by_shape = stats.mapInArrow(_sum_rows, "kind int, shape int, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros((3, SHAPES + 1), np.int64)
     sums[by_shape["kind"], by_shape["shape"]] = by_shape["n"]
     n_all, v_all = int(sums[0].sum()), int(sums[1].sum())
-    keys, top_counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    keys, checks = (top[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "check"))
+    top_counts = top["n"].to_numpy(np.int64)
     np.subtract.at(sums[0], top["shape"].to_numpy(np.int64), top_counts)
     np.subtract.at(sums[1], top["shape"].to_numpy(np.int64), 1)
     np.subtract.at(sums[2], top["shape"].to_numpy(np.int64), (top_counts == 1).astype(np.int64))
-    shared = spark.sparkContext.broadcast((keys, n_all, v_all))
+    shared = spark.sparkContext.broadcast((keys, checks, n_all, v_all))
     coded = "kind int, doc_id long, n_tokens long, n_known long, base_score double, seen double, ids binary"
     replies = summed.where("kind = 1")
     encoded = P.stored(blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_encode_block(parts, shared), coded), "encoded")

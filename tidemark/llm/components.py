@@ -28,14 +28,15 @@ def _stars(edges: DataFrame) -> bool:
     return odd.agg(F.count("*")).first()[0] == 0
 
 
-def roots(edges: DataFrame) -> DataFrame:
-    """(node, root) for edges (u, v): the root is the least node that can be reached.  Nodes without an edge aren't listed."""
+def roots(edges: DataFrame, scratch: P.Scratch) -> DataFrame:
+    """(node, root) for edges (u, v), stored: the root is the least node that can be reached.  Nodes without an edge aren't listed."""
     edges = edges.select("u", "v").where("u <> v")
-    e = P.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = scratch.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _stars(e):
         # large star: every greater neighbour v of u goes to the least, so that edges point down
         large = _least(_both(e)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its neighbours go to the least of them
         small = _least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = P.stored(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        last, e = e, scratch.stored(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
+        scratch.drop(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

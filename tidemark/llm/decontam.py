@@ -31,6 +31,8 @@ from tidemark.llm import packed as P
 
 WINDOW = 10
 RARE = 2
+#: Rows (window, term, offset) that are sent to all executors; more are joined by a shuffle.
+WINDOWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,10 +43,11 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Distinct windows: `window` (its words), window_id and the sorted item_ids that hold it."""
+    """Distinct windows: `window` (its words), window_id (a number; store the table before its use) and the sorted item_ids that hold it."""
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where("size(w) > 0")
+    # numbers are fixed once the table is written
     each = items.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(w) - {n})), i -> slice(w, i + 1, {n}))")).alias("window"))
-    return each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("window_id", F.sha2(F.concat_ws(" ", "window"), 256))
+    return each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("window_id", F.monotonically_increasing_id())
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -71,16 +74,17 @@ def rare_terms(found: DataFrame, docs: DataFrame, rare: int = RARE) -> DataFrame
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (term, doc_key, pos) of the given terms."""
-    return P.stored(_tokens(docs).join(terms.select("term").distinct(), "term", "left_semi"), "postings")
+    """Postings (term, doc_key, pos) of the given distinct terms."""
+    return _tokens(docs).join(terms, "term", "left_semi")
 
 
 def phrase_starts(postings: DataFrame, lookup: DataFrame, rare: int = RARE) -> DataFrame:
     """window_id, doc_key and start at which all looked-up terms stand at their offsets: the lists are intersected from the rarest on."""
-    moved = lambda k: postings.join(lookup.where(f"nth = {k}"), "term").select("window_id", "doc_key", (F.col("pos") - F.col("offset")).alias("start"))
-    out = moved(0)
+    # a term may be that of many postings: they stay where they are, and the few rows of the lookup go to them
+    small = P.lookup(lookup, WINDOWS)
+    out = postings.join(small.where("nth = 0"), "term").select("window_id", "doc_key", (F.col("pos") - F.col("offset")).alias("start"))
     for k in range(1, rare):
-        some = lookup.where(f"nth = {k}").select(F.col("window_id").alias("_w"), F.col("term").alias("_t"), F.col("offset").alias("_o"))
+        some = small.where(f"nth = {k}").select(F.col("window_id").alias("_w"), F.col("term").alias("_t"), F.col("offset").alias("_o"))
         probe = out.join(some, F.col("window_id") == F.col("_w"), "left")
         there = postings.select(F.col("term").alias("_term"), F.col("doc_key").alias("_doc"), F.col("pos").alias("_pos"))
         hit = (F.col("_t") == F.col("_term")) & (F.col("doc_key") == F.col("_doc")) & (F.col("start") + F.col("_o") == F.col("_pos"))
@@ -103,31 +107,38 @@ def near_matches(postings: DataFrame, lookup: DataFrame, slop: int) -> DataFrame
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rare: int = RARE) -> DataFrame:
     """Candidate starts of whole windows (doc_key, start, window, items), stored."""
+    scratch = P.Scratch(docs.sparkSession)
     source = keyed(docs)
-    found = P.stored(windows(benchmark, n), "windows")
-    lookup = P.stored(rare_terms(found, source, rare), "lookup")
+    found = scratch.stored(windows(benchmark, n), "windows")
+    lookup = scratch.stored(rare_terms(found, source, rare), "lookup")
     # windows with a term that no document has can't match
-    possible = lookup.join(lookup.where("n = 0").select("window_id").distinct(), "window_id", "left_anti")
-    starts = phrase_starts(index(source, possible), possible, rare).where("start >= 0")
+    possible = scratch.stored(lookup.join(lookup.where("n = 0").select("window_id").distinct(), "window_id", "left_anti"), "possible")
+    terms = P.lookup(possible.select("term").distinct(), WINDOWS)
+    postings = scratch.stored(index(source, terms), "postings")
+    starts = phrase_starts(postings, possible, rare).where("start >= 0")
     # equal documents share a key: their starts count once
-    return P.stored(starts.distinct().join(found, "window_id").select("doc_key", "start", "window", "items"), "starts")
+    return scratch.finish(starts.distinct().join(P.lookup(found, WINDOWS), "window_id").select("doc_key", "start", "window", "items"), "starts")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rare: int = RARE) -> DataFrame:
     """doc_id, n_words, n_hit, items (array), spans (array of start and end word), contaminated of each document."""
+    return _judged(docs, benchmark, n, rare).drop("doc_key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, rare: int) -> DataFrame:
     candidates = matches(docs, benchmark, n, rare)
     # the candidates are a stored table, so its size is known: Spark sends it to the documents if small, and else sorts both
     starts = candidates.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "window", "items"))).alias("found"))
     real = "filter(found, c -> slice(w, c.start + 1, size(c.window)) = c.window)"
     # texts are smaller than arrays of words: they are split after the join
-    joined = _with_key(docs).join(starts, "doc_key", "left").select("doc_id", words(F.col("text")).alias("w"), "found")
-    both = joined.select("doc_id", F.size("w").alias("n_words"), F.expr(f"coalesce({real}, array())").alias("found"))
+    joined = _with_key(docs).join(starts, "doc_key", "left").select("doc_id", "doc_key", words(F.col("text")).alias("w"), "found")
+    both = joined.select("doc_id", "doc_key", F.size("w").alias("n_words"), F.expr(f"coalesce({real}, array())").alias("found"))
     spans = "transform(found, c -> named_struct('start', cast(c.start as long), 'end', cast(c.start + size(c.window) as long)))"
     # sorted by start: each adds what reaches beyond the greatest end so far
     hit = "aggregate(spans, named_struct('n', 0L, 'to', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.end - greatest(a.to, s.start)), 'to', greatest(a.to, s.end)), a -> a.n)"
     items = "array_sort(array_distinct(flatten(transform(found, c -> c.items))))"
-    out = both.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.expr(spans).alias("spans"), F.expr(items).alias("items"))
-    return out.select("doc_id", "n_words", F.expr(hit).alias("n_hit"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
+    out = both.select("doc_id", "doc_key", F.col("n_words").cast("long").alias("n_words"), F.expr(spans).alias("spans"), F.expr(items).alias("items"))
+    return out.select("doc_id", "doc_key", "n_words", F.expr(hit).alias("n_hit"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -137,9 +148,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents without a hit; rows without doc_id can't be judged and stay."""
-    bad = decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The documents without a hit; rows without doc_id can't be judged and stay.
+
+    Rows that repeat a doc_id are judged each by its own text; columns may have any name."""
+    own, at, of, key = P.fresh(docs, "own", "at", "of", "key")
+    bad = P.stored(_judged(docs, benchmark, n, RARE).where("contaminated").select(F.col("doc_id").alias(of), F.col("doc_key").alias(key)).distinct(), "contaminated")
+    rows = docs.select("*", F.col("doc_id").cast("long").alias(own), F.col("text").cast("string").alias(at))
+    rows = rows.withColumn(at, F.xxhash64(own, at))
+    return rows.join(P.lookup(bad), (F.col(own) == F.col(of)) & (F.col(at) == F.col(key)), "left_anti").select(*docs.columns)
 
 
 #: DuckDB SQL of digest().

@@ -12,12 +12,16 @@ copy.  For each batch
 1. its fingerprints are written as a new run;
 2. a merge join of all runs gives the fingerprints that the batch shares with
    other blocks, of this batch or of history;
-3. windows under these are verified: new and historical blocks send an 80-bit
-   identity of the whole window, made from the texts themselves, and a part
-   marks those that an earlier block has too.  Repeats inside one block are
-   found there;
+3. windows under these are verified: new blocks, and of history only those
+   blocks that hold a shared fingerprint, send a 128-bit identity of the whole
+   window, made from the words themselves (a word of up to 15 bytes counts as
+   it is, a longer one by a cryptographic digest), and a part marks those that
+   an earlier block has too.  Repeats inside one block are found there;
 4. once `fanout` runs of one level are there, they are compacted into one.
 
+The runs are named in a manifest in the index's folder, so a later job can open
+the index and go on with the next batch.
+
 Documents: null text has no words; rows without doc_id are left out; of rows
 that repeat a doc_id the one with the smaller text comes first; further columns
 are ignored.  An empty table gives an empty result.
@@ -26,37 +30,39 @@ are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import packed as P
 from tidemark.llm.suffix_dedup import _rows
 
 WINDOW, GRAM = 20, 8
 _RUN = "part int, block long, kind int, blob binary"
-_SECOND = P.U64(0x5851F42D4C957F2D)
 
 
 def windows_of(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Windows of a block: place among its words, fingerprint, key and check; and the first word of each document."""
+    """Windows of a block: place among its words, fingerprint, key and check (two halves of the identity); and the first word of each document."""
     at, key, check, sign, first, n = [], [], [], [], [np.zeros(1, np.int64)], 0
     for a, b in P.slices(offsets):
         own = offsets[a:b + 1] - offsets[a]
-        _, _, words, begins = P.words_of(buf[offsets[a]:offsets[b]], own)
+        _, _, words, second, begins = P.words_of(buf[offsets[a]:offsets[b]], own)
         if len(words) >= window:
             doc = np.repeat(np.arange(len(own) - 1), np.diff(begins))
             whole = np.flatnonzero(doc[:len(words) - window + 1] == doc[window - 1:])
             at.append(whole + n)
             key.append(P.word_grams(words, window)[whole])
-            check.append(P.word_grams(words ^ _SECOND, window)[whole].astype(np.uint16))
+            check.append(P.word_grams(second, window)[whole])
             sign.append(P.sliding_min(P.word_grams(words, gram), window - gram + 1)[whole])
         first.append(begins[1:] + n)
         n += len(words)
     cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return {"at": cat(at, np.int64), "key": cat(key, P.U64), "check": cat(check, np.uint16), "sign": cat(sign, P.U64), "first": np.concatenate(first)}
+    return {"at": cat(at, np.int64), "key": cat(key, P.U64), "check": cat(check, P.U64), "sign": cat(sign, P.U64), "first": np.concatenate(first)}
 
 
 def _signs_of_block(parts: int):
@@ -135,8 +141,8 @@ def _verify(first_new: int):
         blocks, keys, checks = table.column("block").to_pylist(), [], []
         for blob in table.column("blob").to_pylist():
             n = int.from_bytes(blob[:8], "little")
-            checks.append(np.frombuffer(blob, np.uint16, n, 8))
-            keys.append(P.unpack_sorted(blob[8 + 2 * n:]))
+            checks.append(np.frombuffer(blob, P.U64, n, 8))
+            keys.append(P.unpack_sorted(blob[8 + 8 * n:]))
         edges = np.cumsum([0, *map(len, keys)])
         key, check = np.concatenate(keys), np.concatenate(checks)
         order = np.argsort(key, kind="stable")
@@ -188,59 +194,84 @@ def _cut_block(parts: int, texts: bool):
 
 
 class FingerprintLog:
-    """The index: runs of fingerprints in the shared folder, newest last."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
-        self.spark, self.fanout, self.parts = spark, fanout, P.shuffle_parts(spark)
-        self.runs: list[tuple[int, str]] = []
+    """The index: immutable runs of fingerprints in a shared folder, newest last, named by a manifest.
+
+    With `path` of an index that is there already, its runs are history."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2) -> None:
+        self.spark, self.fanout, self.path = spark, fanout, path or P.workspace(spark, "fingerprint-log")
+        self.parts, self.runs, self.version = P.shuffle_parts(spark), [], 0
+        for x in self._manifests():
+            if x["version"] >= self.version:
+                self.version, self.parts, self.runs = x["version"], x["parts"], [tuple(r) for r in x["runs"]]
+
+    def _manifests(self) -> list[dict]:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return []
+        return [json.loads(r.value) for r in self.spark.read.text(f"{self.path}/manifest/*").collect()]
+
+    def _commit(self) -> None:
+        """A new manifest; readers take the greatest version that is whole."""
+        self.version += 1
+        row = json.dumps({"version": self.version, "parts": self.parts, "runs": self.runs})
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version:09d}")
+        if self.version > 1:
+            P.remove(self.spark, f"{self.path}/manifest/{self.version - 1:09d}")
 
     def _read(self) -> DataFrame | None:
         out = None
-        for _, path in self.runs:
-            run = self.spark.read.schema(_RUN).parquet(path)
+        for _, name in self.runs:
+            run = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
             out = run if out is None else out.unionAll(run)
         return out
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = P.workspace(self.spark, f"fingerprints-{level}")
-        rows.repartition(P.shuffle_parts(self.spark), "part").sortWithinPartitions("part", "block").write.parquet(path)
-        self.runs.append((level, path))
-
-    def dedup(self, blocked: DataFrame, first: int, end: int, texts: bool = True) -> DataFrame:
-        """What is left of the documents of blocks [first, end); smaller blocks are history, and in the index already."""
-        batch = blocked.where(f"block >= {first} AND block < {end}")
-        known = blocked.where(f"block < {end}")
+        name = f"run-{self.version:09d}-{level}-{uuid.uuid4().hex}"
+        rows.repartition(P.shuffle_parts(self.spark), "part").sortWithinPartitions("part", "block").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.runs.append((level, name))
+
+    def append(self, batch: DataFrame, history: DataFrame, first: int, texts: bool = True) -> DataFrame:
+        """What is left of the documents of a batch.  Its blocks are numbered from `first` on; history holds the blocks before, which are in the index already."""
         self._write(batch.groupBy("block").applyInArrow(_signs_of_block(self.parts), _RUN), 0)
         live = P.stored(self._read().groupBy("part").applyInArrow(_merge_join(first), _RUN), "shared")
+        # no more rows than there are blocks
+        needed = live.where(F.col("block") < first).select("block").distinct()
+        known = history.join(F.broadcast(needed), "block", "left_semi").unionAll(batch)
         keys = known.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(_keys_of_block(self.parts), _RUN)
         marks = keys.groupBy("part").applyInArrow(_verify(first), _RUN)
         self.compact()
+        self._commit()
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-        return batch.groupBy("block").cogroup(live.where(f"block >= {first}").unionAll(marks).groupBy("block")).applyInArrow(_cut_block(self.parts, texts), schema)
+        return batch.groupBy("block").cogroup(live.where(F.col("block") >= first).unionAll(marks).groupBy("block")).applyInArrow(_cut_block(self.parts, texts), schema)
 
     def compact(self) -> None:
         level = 0
         while len(old := [x for x in self.runs if x[0] == level]) >= self.fanout:
             rows = None
-            for _, path in old:
-                run = self.spark.read.schema(_RUN).parquet(path)
+            for _, name in old:
+                run = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
                 rows = run if rows is None else rows.unionAll(run)
             self._write(rows.groupBy("part").applyInArrow(_compact, _RUN), level + 1)
             self.runs = [x for x in self.runs if x not in old]
-            for _, path in old:
-                P.remove(self.spark, path)
+            for _, name in old:
+                P.remove(self.spark, f"{self.path}/{name}")
             level += 1
 
 
-def dedup(docs: DataFrame, batches: int = 2, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 2, texts: bool = True, path: str | None = None) -> DataFrame:
     """All documents, as `batches` successive batches of one index.
 
-    Each batch has about the same range of doc_id; batches = 1 is a single load."""
+    Each batch has about the same bytes of text; batches = 1 is a single load.
+    The index stays at `path` if that is given."""
     blocked, n = P.with_blocks(docs)
-    log = FingerprintLog(docs.sparkSession)
+    log = FingerprintLog(docs.sparkSession, path)
     out = None
     for b in range(batches):
+        first, end = b * n // batches, (b + 1) * n // batches
         # the last batch has no upper end, so that no block is left out by rounding
-        part = log.dedup(blocked, b * n // batches, (b + 1) * n // batches if b + 1 < batches else n + 1, texts)
+        batch = blocked.where(f"block >= {first}" + (f" AND block < {end}" if b + 1 < batches else ""))
+        part = log.append(batch, blocked.where(f"block < {first}"), first, texts)
         out = part if out is None else out.unionAll(part)
     return out

@@ -13,8 +13,11 @@ their true neighbours.  Vectors without structure need wide windows; then the
 search comes near a scan of all rows.  A vector that fills several buckets is
 dealt over all of them.
 
-Vectors that are null, zero, of another dimension than the first, or hold null
-or non-finite components take no part, nor do rows without vec_id.  Of rows
+The number of buckets follows the number of vectors, so that a bucket stays as
+large as it is.
+
+Vectors that are null, zero, of another dimension than most (of equally
+frequent ones the least counts), or hold null or non-finite components take no part, nor do rows without vec_id.  Of rows
 that repeat a vec_id the ones with the least components count once.  Ties go to
 the smaller vec_id.  An empty table gives an empty result.
 """
@@ -32,6 +35,13 @@ from tidemark.llm import ranges as R
 DIMS, BITS, CURVES = 8, 8, 4
 #: Vectors that the cells are fitted on, and queries that the width is fitted on, at most.
 SAMPLE, TRIALS = 10_000, 256
+#: Buckets of a curve at least, vectors in a bucket beyond that, and vectors of the sample to a bucket.
+BUCKETS, PER_BUCKET, PER_CUT = 64, 20_000, 8
+
+
+def bucket_count(vectors: int) -> int:
+    """Buckets of each curve for so many vectors."""
+    return min(max(BUCKETS, -(-vectors // PER_BUCKET)), max(1, vectors // 8))
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -118,8 +128,8 @@ def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and x (array of doubles) of the vectors that take part."""
     rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     rows = rows.where("forall(x, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')) AND exists(x, c -> c <> 0)")
-    first = rows.orderBy("vec_id").select(F.size("x").alias("d")).limit(1).collect()
-    return rows.where(F.size("x") == (first[0].d if first else 0))
+    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    return rows.where(F.size("x") == (sizes[0].d if sizes else 0))
 
 
 def _best(qx, vx, vid, unit_q, unit_v, qid, k):
@@ -163,7 +173,7 @@ def exact(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
     return _rank(rows.mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, recall: float = 0.97, buckets: int = 64) -> DataFrame:
+def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, recall: float = 0.97, buckets: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each query row."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
@@ -173,10 +183,12 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, re
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     some = lambda most, total, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most * 0.9 / max(1, total)))
-    sample = rows.where(some(SAMPLE, n, 1)).orderBy("vec_id").limit(SAMPLE).toArrow()
+    buckets = buckets or bucket_count(n)
+    most = max(SAMPLE, PER_CUT * buckets)
+    sample = rows.where(some(most, n, 1)).orderBy("vec_id").limit(most).toArrow()
     if not sample.num_rows:
-        sample = rows.orderBy("vec_id").limit(SAMPLE).toArrow()
-    curves = Curves(_unit(_matrix(sample.column("x"))), min(buckets, max(1, n // 8)))
+        sample = rows.orderBy("vec_id").limit(most).toArrow()
+    curves = Curves(_unit(_matrix(sample.column("x"))), buckets)
     last = len(curves.cuts[0])
     queries = rows.where(is_query)
     # the width: how far on the nearest curve the true neighbours of some queries are

@@ -1,5 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
+Prediction is the language of the greatest posterior: the share of a language
+among the training documents times the probabilities of the text's n-grams; the
+score is that posterior.
+
 Training counts the 1-, 2- and 3-grams of lower-cased letters (any other run of
 characters is one blank) in hash buckets.  The matrix of log-probabilities has
 BUCKETS rows and a column for each language; it is broadcast, and its size is
@@ -9,6 +13,8 @@ each document is the sparse row of its n-grams, summed over the matrix.
 The model is fitted on at most `bound` labelled rows, chosen by a hash of
 doc_id; prediction covers every row and the whole of each text.
 
+MOST_LANGS languages can be told apart at most: a table with more is an error.
+
 Null text and text without a letter give `und` with score 0.  Rows with null
 lang teach nothing.  Rows without doc_id get a prediction like others and don't
 teach.  An empty table, or one with no labelled row, gives `und` throughout.
@@ -27,8 +33,8 @@ from tidemark.llm import packed as P
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
-#: Rows that a fit takes at most.
-BOUND = 20_000
+#: Rows that a fit takes, about, and languages that it can have, at most.
+BOUND, MOST_LANGS = 20_000, 1000
 
 _TABLE: np.ndarray | None = None
 
@@ -109,10 +115,10 @@ def _count(batches):
 
 
 class Model:
-    """Languages and float32 log-probabilities [BUCKETS, languages]."""
+    """Languages, their log-priors, and float32 log-probabilities [languages, BUCKETS]."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray) -> None:
-        self.langs, self.logp = langs, logp
+    def __init__(self, langs: list[str], prior: np.ndarray, logp: np.ndarray) -> None:
+        self.langs, self.prior, self.logp = langs, prior, logp
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         names, scores = [], np.zeros(len(texts))
@@ -121,12 +127,10 @@ class Model:
             if not self.langs:
                 names += ["und"] * (b - a)
                 continue
-            total = np.zeros((b - a, len(self.langs)))
+            total = np.tile(self.prior, (b - a, 1))
             for k in range(len(ORDERS)):
                 for j in range(len(self.langs)):
                     total[:, j] += np.add.reduceat(self.logp[j][grams[:, k]], begins, dtype=np.float64)
-            # n-grams of one text overlap: the mean over them is a better calibrated score than their sum
-            total /= np.sqrt(np.maximum(1, np.diff(np.r_[begins, len(grams)])))[:, None]
             best = total.argmax(1)
             p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             names += [self.langs[i] if n else "und" for i, n in zip(best, letters, strict=True)]
@@ -135,30 +139,37 @@ class Model:
 
 
 def sampled(rows: DataFrame, bound: int) -> DataFrame:
-    """At most about `bound` rows, chosen by a hash of doc_id: the same ones at any partitioning."""
+    """About 0.95 * `bound` rows if there are more, chosen by a hash of the row: the same ones at any partitioning.
+
+    Only rows that are equal in all columns are chosen or left together; what
+    is gathered from the rows has to be bounded by itself."""
     n = rows.count()
     if n <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound * 0.95 / n))
+    return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * bound * 0.95 / n))
 
 
 def fit(labelled: DataFrame, bound: int = BOUND) -> Model:
     """labelled: doc_id, text, lang.  Counts are summed in Spark; BUCKETS counts a language reach the driver."""
     rows = sampled(labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), bound)
+    share = {x.lang: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(share) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique())
+    langs = sorted(share)
+    prior = np.log([share[x] / sum(share.values()) for x in langs])
     logp = np.empty((len(langs), BUCKETS), np.float32)
     for k, name in enumerate(langs):
         own = sums[sums["lang"] == name]
         n = np.full(BUCKETS, ALPHA)
         n[own["bucket"].to_numpy()] += own["n"].to_numpy()
         logp[k] = np.log(n / n.sum())
-    return Model(langs, logp)
+    return Model(langs, prior, logp)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` of docs, and the language and its score under `names`."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.logp))
     kept = list(keep)
 
     def run(batches):
@@ -184,10 +195,11 @@ def identify(docs: DataFrame, bound: int = BOUND) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5, bound: int = BOUND) -> DataFrame:
-    """The documents whose language is found: not `und`, and a score of at least `least`."""
+    """The documents whose language is found: not `und`, and a score of at least `least`.  Columns may have any name."""
     model = fit(docs.where(~held_out(2, 4)), bound)
-    kept = predict(docs.withColumn("text", F.col("text").cast("string")), model, docs.columns, ("_found", "_sure"))
-    return kept.where(F.col("_found") != "und").where(F.col("_sure") >= least).select(*docs.columns)
+    found, sure = P.fresh(docs, "found", "sure")
+    kept = predict(docs.withColumn("text", F.col("text").cast("string")), model, docs.columns, (found, sure))
+    return kept.where(F.col(found) != "und").where(F.col(sure) >= least).select(*docs.columns)
 
 
 def accuracy(docs: DataFrame) -> pd.DataFrame:

@@ -3,19 +3,22 @@
 Documents are linked if their sets of word shingles have a Jaccard similarity
 of at least `percent` / 100; a class is what links connect.
 
-1. Equal sets are one node at once, whatever their number.
+1. Equal sets are one node at once, whatever their number.  Two 64-bit hashes
+   of each shingle, made from 128-bit identities of its words, go into a
+   128-bit digest of the set.
 2. Signatures of HASHES minima; bands of ROWS put nodes that are likely to be
    similar in one bucket.
-3. In every bucket all members are compared with two of them, the least node
-   and that of the least hash.  No pairs within the bucket are formed.
+3. In every bucket all members are compared with its least node.  No pairs
+   within the bucket are formed.
 4. A pair's signatures are compared a batch at a time.  After each, the
    posterior (uniform prior) that the similarity reaches the threshold is
    looked up; below `miss` the pair is dropped.
 5. The best survivor of each node is verified on the full sets, made again from
    the texts; a star of thousands is verified in salted parts.
-6. Buckets that then still hold several classes are searched whole, in blocks
-   of members, for pairs across classes, survivors left over among them; these
-   are pruned and verified where they meet, and only a link for each joining of
+6. Members of buckets that then still hold several classes are compared by
+   signature within the bucket, in blocks of members; a pair is looked at in
+   the first band that it shares.  Those that survive with a member of another
+   class are verified where they meet, and only a link for each joining of
    classes leaves a block.  Nothing is capped.
 
 Null text and text without words are an empty set, linked with nothing.  Rows
@@ -25,6 +28,8 @@ row in the result.  Further columns are ignored.  An empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,53 +41,53 @@ from tidemark.llm.components import roots
 HASHES, ROWS, BATCH = 128, 4, 16
 #: Chance with which a pair at the threshold may be dropped by its signatures.
 MISS = 1e-6
-#: Members of a bucket that are compared in one block, and of a star that are verified in one part.
-BLOCK = 256
+#: Members of a bucket whose signatures are compared in one block, members of a star that are verified in one part, and their shingles in all.
+BLOCK, STAR, STAR_SHINGLES = 1024, 256, 1 << 18
 _A = P.mix(np.arange(1, HASHES + 1, dtype=P.U64)) | P.U64(1)
 _B = P.mix(np.arange(1001, HASHES + 1001, dtype=P.U64))
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document, one after another, and their numbers."""
-    _, _, words, begins = P.words_of(P.lower_ascii(buf), offsets)
-    grams = P.word_grams(words, size)
-    sets = []
+def _shingles(buf: np.ndarray, offsets: np.ndarray, size: int):
+    """The two hashes of every shingle of each document, in the order of the text."""
+    _, _, low, high, begins = P.words_of(P.lower_ascii(buf), offsets)
+    grams = [P.word_grams(w, size) for w in (low, high)]
     for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
         if b - a >= size:
-            sets.append(np.unique(grams[a:b - size + 1]))
+            yield grams[0][a:b - size + 1], grams[1][a:b - size + 1]
         elif b > a:  # fewer words: the whole sequence; its length keeps it from others
-            sets.append(P.word_grams(words[a:b], b - a) ^ P.U64(b - a))
+            yield tuple(P.word_grams(w[a:b], b - a) ^ P.U64(b - a) for w in (low, high))
         else:
-            sets.append(grams[:0])
-    return np.concatenate(sets) if sets else grams[:0], np.array([len(s) for s in sets], np.int64)
+            yield low[:0], high[:0]
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Sorted distinct shingle hashes of each document, one after another, their numbers, and a 128-bit digest of each set."""
+    sets, digests = [], []
+    for low, high in _shingles(buf, offsets, size):
+        sets.append(np.unique(low))
+        digests.append(hashlib.blake2b(sets[-1].tobytes() + np.unique(high).tobytes(), digest_size=16).digest())
+    return np.concatenate(sets) if sets else np.empty(0, P.U64), np.array([len(s) for s in sets], np.int64), digests
 
 
 def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[documents, HASHES] minima as uint32; all ones for an empty set."""
-    out = np.full((len(sizes), HASHES), 0xFFFFFFFF, np.uint32)
+    """[documents, HASHES] the low halves of 32-bit minima; all ones for an empty set."""
+    out = np.full((len(sizes), HASHES), 0xFFFF, np.uint16)
     some = np.flatnonzero(sizes)
     if len(some):
         begins = (np.cumsum(sizes) - sizes)[some]
         for k in range(HASHES):
-            out[some, k] = np.minimum.reduceat(((sets * _A[k] + _B[k]) >> P.U64(32)).astype(np.uint32), begins)
+            out[some, k] = np.minimum.reduceat(((sets * _A[k] + _B[k]) >> P.U64(32)).astype(np.uint32), begins).astype(np.uint16)
     return out
 
 
-def _identity(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each set."""
-    sums = np.r_[P.U64(0), np.cumsum(P.mix(sets ^ P.U64(0xA5A5A5A5)), dtype=P.U64)]
-    ends = np.cumsum(sizes)
-    return P.mix((sums[ends] - sums[ends - sizes]) ^ P.mix(sizes.astype(P.U64))).view(np.int64)
-
-
 def _sketch(size: int):
     def run(batches):
         for batch in batches:
             buf, offsets = P.utf8(batch.column("text"))
             for a, b in P.slices(offsets):
-                sets, sizes = shingle_sets(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
+                sets, sizes, digests = shingle_sets(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
                 sign = signatures(sets, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(_identity(sets, sizes), pa.int64()), pa.array([x.tobytes() for x in sign], pa.binary())], names=["doc_id", "n_shingles", "node", "sign"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sign], pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "sign"])
 
     return run
 
@@ -120,7 +125,7 @@ def sequential(left: np.ndarray, right: np.ndarray, least: np.ndarray) -> tuple[
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def band_keys(sign: np.ndarray) -> np.ndarray:
@@ -139,19 +144,58 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(node, pa.int64())], names=["bucket", "node"])
 
 
-def _prune(least: np.ndarray):
+def _near_in_size(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _prune(least: np.ndarray, percent: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
                 keep, same = sequential(_matrix(b.column("a_sign")), _matrix(b.column("b_sign")), least)
+                keep &= _near_in_size(b.column("a_size").to_numpy(), b.column("b_size").to_numpy(), percent)
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask), pa.array(same[keep], pa.int64())], names=["a", "b", "same"])
 
     return run
 
 
-def _link_across(least: np.ndarray, percent: int):
-    """Links between the classes of some nodes and of one block of their group, as (u, v) of their roots.
+def _across(left: pa.Table, right: pa.Table, least: np.ndarray, percent: int):
+    """For each member on the left: the members on the right that are of another class and may be similar, and how many hashes they share.
+
+    A pair that also shares an earlier band is left to that bucket."""
+    a, b = _matrix(left.column("sign")), _matrix(right.column("sign2"))
+    a_root, b_root, a_size, b_size = (t.column(c).to_numpy() for t, c in ((left, "root"), (right, "root2"), (left, "size"), (right, "size2")))
+    a_band, b_band = band_keys(a), band_keys(b)
+    own = int(np.flatnonzero(a_band[0] == left.column("bucket")[0].as_py())[0])
+    for i in range(len(a)):
+        other = np.flatnonzero((b_root != a_root[i]) & _near_in_size(b_size, a_size[i], percent))
+        if own:
+            other = other[~(b_band[other, :own] == a_band[i, :own]).any(1)]
+        if len(other):
+            keep, same = sequential(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
+            yield i, other[keep], same[keep]
+
+
+def _flag(least: np.ndarray, percent: int):
+    """The members of a bucket that may be similar to one of another class."""
+    def run(key, left, right):
+        found: set[int] = set()
+        bucket = 0
+        if left.num_rows and right.num_rows:
+            bucket = left.column("bucket")[0].as_py()
+            a_node, b_node = left.column("node").to_pylist(), right.column("node2").to_numpy()
+            for i, other, _ in _across(left, right, least, percent):
+                if len(other):
+                    found.add(a_node[i])
+                    found.update(b_node[other].tolist())
+        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), "node": pa.array(sorted(found), pa.int64())})
+
+    return run
+
+
+def _link_across(least: np.ndarray, percent: int, size: int):
+    """Links between the classes of some nodes and of one block of their bucket, as (u, v) of their roots.
 
     Pairs that their signatures can't exclude are verified on the full sets,
     likeliest first; a pair whose classes are joined already is skipped, so
@@ -160,141 +204,177 @@ def _link_across(least: np.ndarray, percent: int):
         found = []
         if left.num_rows and right.num_rows:
             a_root, b_root = left.column("root").to_pylist(), right.column("root2").to_pylist()
-            a, b = _matrix(left.column("sign")), _matrix(right.column("sign2"))
-            names, label = np.unique(np.r_[left.column("root").to_numpy(), right.column("root2").to_numpy()], return_inverse=True)
+            _, label = np.unique(np.r_[a_root, b_root], return_inverse=True)
             a_class, b_class = label[:len(a_root)].copy(), label[len(a_root):].copy()
-            sets: dict[int, np.ndarray] = {}
-            blobs = right.column("shingles2").to_pylist()
-            for i, blob in enumerate(left.column("shingles").to_pylist()):
-                other = np.flatnonzero(b_class != a_class[i])
-                keep, same = sequential(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
-                own = P.unpack_sorted(blob) if keep.any() else None
-                for j in other[keep][np.argsort(-same[keep], kind="stable")].tolist():
+            sets: dict[int, tuple] = {}
+            texts, others = left.column("text"), right.column("text2")
+            for i, other, same in _across(left, right, least, percent):
+                own = None
+                for j in other[np.argsort(-same, kind="stable")].tolist():
                     if b_class[j] == a_class[i]:
                         continue
+                    own = own or full_set(texts[i].as_py(), size)
                     if j not in sets:
-                        sets[j] = P.unpack_sorted(blobs[j])
-                    if _similar(own, sets[j], percent):
+                        sets[j] = full_set(others[j].as_py(), size)
+                    if similar(own, sets[j], percent):
                         found.append((a_root[i], b_root[j]))
                         was, now = b_class[j], a_class[i]
                         a_class[a_class == was] = now
                         b_class[b_class == was] = now
-        cols = list(zip(*found, strict=True)) or [(), ()]
-        return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
+        return _links(found)
 
     return run
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if 100 * small < percent * large:
-        return False
-    both = int(P.found_in(a, b).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    cols = list(zip(*found, strict=True)) or [(), ()]
+    return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
 
 
-def _sets_of(size: int):
-    def run(batches):
-        for batch in batches:
-            buf, offsets = P.utf8(batch.column("text"))
-            for a, b in P.slices(offsets):
-                sets, sizes = shingle_sets(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], size)
-                ends = np.cumsum(sizes)
-                wanted = batch.column("node").slice(a, b - a).to_numpy()
-                # a row that only shares the doc_id has another set
-                right = np.flatnonzero(_identity(sets, sizes) == wanted)
-                blobs = [P.pack_sorted(sets[ends[i] - sizes[i]:ends[i]]) for i in right]
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[right], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+def full_set(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text by their two hashes, sorted by the first."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    low, high = next(_shingles(raw, np.array([0, len(raw)]), size))
+    low, index = np.unique(low, return_index=True)
+    return low, high[index]
 
-    return run
 
+def similar(a: tuple, b: tuple, percent: int) -> bool:
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]) or 100 * len(a[0]) < percent * len(b[0]):
+        return False
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
+    return 100 * both >= percent * (len(a[0]) + len(b[0]) - both)
 
-def _verify(percent: int):
+
+def _verify(percent: int, size: int):
     def run(key, left, right):
-        """left: the sets of a star's members, right: the centre's."""
+        """left: the texts of a star's members, right: the centre's."""
         found = []
         if left.num_rows and right.num_rows:
-            centre = P.unpack_sorted(right.column("centre")[0].as_py())
-            for node, blob in zip(left.column("a").to_pylist(), left.column("shingles").to_pylist(), strict=True):
-                if _similar(P.unpack_sorted(blob), centre, percent):
+            centre = full_set(right.column("centre")[0].as_py(), size)
+            for node, text in zip(left.column("a").to_pylist(), left.column("text"), strict=True):
+                if similar(full_set(text.as_py(), size), centre, percent):
                     found.append((node, key[0].as_py()))
-        cols = list(zip(*found, strict=True)) or [(), ()]
-        return pa.table({"u": pa.array(cols[0], pa.int64()), "v": pa.array(cols[1], pa.int64())})
+        return _links(found)
 
     return run
 
 
-def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Stored shingle sets (node, shingles) of some nodes, made again from the texts."""
-    wanted = P.stored(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return P.stored(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets_of(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+def _texts(scratch: P.Scratch, wanted: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """Stored texts (node, text) of some nodes, by the row that stands for each."""
+    wanted = scratch.stored(wanted.join(nodes.select("node", "doc_id", "text_key"), "node"), "wanted")
+    out = scratch.stored(source.join(P.lookup(wanted), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    scratch.drop(wanted)
+    return out
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(scratch: P.Scratch, pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough, as (u, v)."""
-    part = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
-    stars = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    dealt = P.stored(pairs.join(stars, "b").select("a", "b", part.cast("int").alias("part")), "pairs")
-    sets = _sets(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), nodes, docs, size)
-    members = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "shingles")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / STAR), F.ceil(F.col("shingles") / STAR_SHINGLES))
+    sized = pairs.join(nodes.select(F.col("node").alias("a"), "size"), "a")
+    stars = sized.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    dealt = scratch.stored(pairs.join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part")), "pairs")
+    texts = _texts(scratch, dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), nodes, source)
+    members = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
     # other names than on the left, or Spark takes them for the same columns
-    centres = dealt.select("b", "part").distinct().join(sets.withColumnRenamed("node", "b"), "b").select(F.col("b").alias("c"), F.col("part").alias("c_part"), F.col("shingles").alias("centre"))
-    return members.groupBy("b", "part").cogroup(centres.groupBy("c", "c_part")).applyInArrow(_verify(percent), "u long, v long")
+    centres = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("node", "b"), "b").select(F.col("b").alias("c"), F.col("part").alias("c_part"), F.col("text").alias("centre"))
+    out = scratch.stored(members.groupBy("b", "part").cogroup(centres.groupBy("c", "c_part")).applyInArrow(_verify(percent, size), "u long, v long"), "links")
+    scratch.drop(dealt, texts)
+    return out
 
 
-def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document with a doc_id."""
+def _rooted(members: DataFrame, root: DataFrame) -> DataFrame:
+    """members with the root of their node; a node without links is its own root."""
+    of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return members.join(of, F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("_r", "node").alias("root"))
+
+
+def _mixed(scratch: P.Scratch, members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (bucket, node, root) of buckets with several classes, as two sides for a comparison in blocks.
+
+    Every member is on the right once; those outside the largest class of the bucket are on the left of every block."""
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    major = sizes.groupBy("bucket").agg(F.sum("of_root").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("of_root", "root")).alias("major")).where("roots > 1")
+    own = members.join(major, "bucket").select("bucket", "node", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("root") != F.col("major")).alias("minor"))
+    own = scratch.stored(own.join(nodes.select("node", "size", "sign"), "node"), "mixed")
+    right = own.select(*(F.col(c).alias(f"{c}2") for c in ("bucket", "node", "root", "size", "sign")), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
+    left = own.where("minor").select("bucket", "node", "root", "size", "sign", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    return left, right
+
+
+def _class_of_rows(scratch: P.Scratch, docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """doc_id, text_key, n_shingles, and the least (doc_id, text_key) of the class as `first`, of every row with a doc_id; null for an empty set."""
     least = keep_table(percent, miss)
-    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = P.stored(source.mapInArrow(_sketch(size), "doc_id long, n_shingles long, node long, sign binary"), "sketches")
-    nodes = P.stored(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("sign", "doc_id").alias("sign")), "nodes")
+    source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", P.text_key())
+    sketches = scratch.stored(source.mapInArrow(_sketch(size), "doc_id long, text_key binary, n_shingles long, digest binary, sign binary"), "sketches")
+    equal = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.max("n_shingles").alias("size"), F.min("sign").alias("sign"))
+    # the numbers are fixed once they are written
+    nodes = scratch.stored(equal.select(F.monotonically_increasing_id().alias("node"), "digest", "row.doc_id", "row.text_key", "size", "sign"), "nodes")
     buckets = nodes.select("node", "sign").mapInArrow(_bands, "bucket long, node long")
-    # least node and node of the least hash, of the buckets with several
-    star = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("p"), F.expr("min(named_struct('h', xxhash64(node), 'node', node)).node").alias("q")).where("n > 1")
-    shared = P.stored(buckets.join(star, "bucket"), "buckets")
-    pairs = shared.select("node", F.explode(F.array("p", "q")).alias("b")).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    survivors = P.stored(_signed(pairs, nodes).mapInArrow(_prune(least), "a long, b long, same long"), "survivors")
-    best = survivors.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = P.stored(verified(best, nodes, source, size, percent), "links")
-    root = roots(links)
-    # buckets that hold several classes, put together where they share members: a node is in one group, however many buckets it is in
-    of = root.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    rooted = shared.select("bucket", "node").join(of, F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("_r", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("bucket", "first")
-    members = P.stored(rooted.join(mixed, "bucket").select("node", "root", "first").distinct(), "mixed")
-    if members.limit(1).count():
-        group = roots(members.select(F.col("node").alias("u"), F.col("first").alias("v")))
-        group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("grp"))
-        each = members.select("node", "root").distinct().join(group, "node")
-        sizes = each.groupBy("grp", "root").agg(F.count("*").alias("of_root"))
-        major = sizes.groupBy("grp").agg(F.sum("of_root").alias("n"), F.max_by("root", F.struct("of_root", "root")).alias("major"))
-        own = each.join(major, "grp").join(nodes.select("node", "sign"), "node").join(_sets(each.select("node"), nodes, source, size), "node")
-        own = P.stored(own.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "groups")
-        # every member is sent once, in blocks; those outside the largest class of the group to every block
-        right = own.select(F.col("grp").alias("grp2"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("shingles").alias("shingles2"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i2"))
-        left = own.where("root <> major").select("grp", "node", "root", "sign", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-        extra = left.groupBy("grp", "i").cogroup(right.groupBy("grp2", "i2")).applyInArrow(_link_across(least, percent), "u long, v long")
+    star = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
+    shared = scratch.stored(buckets.join(star, "bucket"), "buckets")
+    pairs = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    survivors = _signed(pairs, nodes).mapInArrow(_prune(least, percent), "a long, b long, same long")
+    best = scratch.stored(survivors.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best")
+    links = verified(scratch, best, nodes, source, size, percent)
+    root = roots(links, scratch)
+    scratch.drop(best, links)
+    left, right = _mixed(scratch, _rooted(shared.select("bucket", "node"), root), nodes)
+    near = scratch.stored(left.groupBy("bucket", "i").cogroup(right.groupBy("bucket2", "i2")).applyInArrow(_flag(least, percent), "bucket long, node long").distinct(), "near")
+    scratch.drop(shared)
+    if near.limit(1).count():
+        left, right = _mixed(scratch, _rooted(near, root), nodes)
+        texts = _texts(scratch, near.select("node").distinct(), nodes, source)
+        left, right = left.join(texts, "node"), right.join(texts.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
+        extra = scratch.stored(left.groupBy("bucket", "i").cogroup(right.groupBy("bucket2", "i2")).applyInArrow(_link_across(least, percent, size), "u long, v long"), "extra")
         # only the roots of classes that are joined get another one, and with them their members
-        new = roots(extra)
+        new = roots(extra, scratch)
         moved = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         root = root.join(moved, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")).unionByName(new)
     # a root isn't listed as a node of its class, nor is a node without links
-    whole = P.stored(nodes.select("node", "doc_id").join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "classes")
-    named = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    class_of = whole.join(named, "root").select("node", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "node").join(class_of, "node", "left")
+    whole = _rooted(nodes.select("node", "digest", F.struct("doc_id", "text_key").alias("row")), root)
+    linked = whole.where("node <> root").select("root").distinct()
+    alone = whole.join(linked, "root", "left_anti").select("digest", F.col("row").alias("first"))
+    joined = scratch.stored(whole.join(linked, "root", "left_semi"), "joined")
+    named = joined.groupBy("root").agg(F.min("row").alias("first"))
+    class_of = alone.unionByName(joined.join(named, "root").select("digest", "first"))
+    return sketches.select("doc_id", "text_key", "n_shingles", "digest").join(class_of.withColumnRenamed("digest", "_d"), (F.col("n_shingles") > 0) & (F.col("digest") == F.col("_d")), "left").select("doc_id", "text_key", "n_shingles", "first")
+
+
+def classes(docs: DataFrame, size: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document with a doc_id."""
+    scratch = P.Scratch(docs.sparkSession)
+    rows = _class_of_rows(scratch, docs, size, percent, miss)
     # an empty set is linked with nothing
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = F.coalesce(F.col("first.doc_id"), "doc_id")
+    return scratch.finish(rows.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept")), "classes")
 
 
 def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    a, b = (nodes.select(F.col("node").alias(c), F.col("sign").alias(f"{c}_sign")) for c in "ab")
+    a, b = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sign").alias(f"{c}_sign")) for c in "ab")
     return pairs.join(a, "a").join(b, "b")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents but for the near copies of ones with a smaller doc_id.  Rows without doc_id stay."""
-    gone = classes(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """The documents but for the near copies: of each class the row with the least doc_id stays, and of those the one with the least digest of its text.
+
+    Rows that agree in doc_id and text are copies too, and any one of them
+    stays.  Rows without doc_id, and those without words, stay.  Columns may
+    have any name."""
+    scratch = P.Scratch(docs.sparkSession)
+    rows = scratch.stored(_class_of_rows(scratch, docs, size, percent, miss).where("n_shingles > 0"), "rows")
+    # one row for each (doc_id, text): whether it goes, and whether there are several of it
+    said = rows.groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("n")).withColumn("gone", F.struct("doc_id", "text_key") != F.col("first"))
+    said = scratch.finish(said.where("gone OR n > 1").select("doc_id", "text_key", "gone"), "gone")
+    doc, key, of, at = P.fresh(docs, "doc", "key", "of", "at")
+    wide = docs.select("*", F.col("doc_id").cast("long").alias(doc), P.text_key().alias(key))
+    gone, twice = (said.where(c).select(F.col("doc_id").alias(of), F.col("text_key").alias(at)) for c in ("gone", "NOT gone"))
+    same = (F.col(doc) == F.col(of)) & (F.col(key) == F.col(at))
+    out = wide.join(P.lookup(gone), same, "left_anti")
+    if twice.limit(1).count():
+        some = P.lookup(twice)
+        out = out.join(some, same, "left_anti").unionByName(out.join(some, same, "left_semi").dropDuplicates([doc, key]))
+    return out.select(*docs.columns)

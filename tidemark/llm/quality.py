@@ -6,8 +6,8 @@ flattened into arrays (feature, threshold and value of each node of a complete
 binary tree), so that scoring is a vectorised walk: a step per level, not a
 call per node.
 
-The model is fitted on at most `bound` labelled rows, chosen by a hash of
-doc_id; scoring covers every row and the whole of each text.  The flattened
+The model is fitted on at most `bound` labelled rows, however often a doc_id
+repeats in either table, chosen by a hash of doc_id; scoring covers every row and the whole of each text.  The flattened
 model has a fixed size and is broadcast.
 
 Null and empty texts have all statistics 0 and get a score like others.  Rows
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import packed as P
-from tidemark.llm.langid import held_out, sampled
+from tidemark.llm.langid import held_out
 
 #: Labelled rows that a fit takes at most.
 BOUND = 20_000
@@ -52,7 +52,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(n), size)
     kinds = np.bincount(doc * _KINDS + _CLASS[buf], minlength=n * _KINDS).reshape(n, _KINDS)
     bytes_ = np.maximum(1, size)
-    starts, ends, words, begins = P.words_of(buf, offsets)
+    starts, ends, words, _, begins = P.words_of(buf, offsets)
     w = np.diff(begins)
     word_doc, some = np.repeat(np.arange(n), w), np.maximum(1, w)
     lengths = (ends - starts).astype(float)
@@ -66,7 +66,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inside = word_doc[:len(trigram)] == word_doc[2:] if len(trigram) else np.empty(0, bool)
     tri_doc = word_doc[:len(trigram)][inside]
     tri = _distinct(trigram[inside], tri_doc, n) / np.maximum(1, np.bincount(tri_doc, minlength=n))
-    line_start, line_end, lines, line_begins = P.words_of(buf, offsets, _LINE)
+    line_start, line_end, lines, _, line_begins = P.words_of(buf, offsets, _LINE)
     l_n = np.diff(line_begins)
     line_doc = np.repeat(np.arange(n), l_n)
     line_same = _distinct(lines, line_doc, n) / np.maximum(1, l_n)
@@ -145,17 +145,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Trees:
-    """docs: doc_id, text; labels: doc_id, quality.  At most `bound` rows of statistics reach the driver."""
-    chosen = sampled(labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality"), bound)
-    # the sample is bounded by a parameter, so it may be broadcast: texts aren't moved
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    """docs: doc_id, text; labels: doc_id, quality.  At most `bound` labels are broadcast, and at most `bound` rows of statistics reach the driver."""
+    # a doc_id has two different labels at most; the rows of the least hashes are the sample
+    named = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(bound)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         for batch in batches:
             x = batch_statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, quality int, x array<float>").orderBy("doc_id", "quality").toPandas()
+    found = rows.mapInArrow(run, "doc_id long, quality int, x array<float>").orderBy(F.xxhash64("doc_id", "x"), "doc_id", "quality", "x").limit(bound).toPandas()
     x = np.array(found["x"].tolist(), np.float32) if len(found) else np.zeros((0, 27), np.float32)
     return fit_trees(x, found["quality"].to_numpy(float))
 

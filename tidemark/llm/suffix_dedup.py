@@ -5,17 +5,22 @@ smaller doc_id.  Sorting every suffix would blow the text up forty-fold, so the
 array is sparse: of each 50-byte string the leftmost least 20-gram (by hash)
 marks the suffix that stands for it, and equal strings mark equal places.
 
-1. Each block lists the distinct 20-grams it marked; a part keeps those that
-   several blocks share.  Others can't be in a repeat.
-2. Each block sorts its marked suffixes that remain (and those that two of its
-   own documents share) and sends them as a front-coded run: the length of the
-   prefix shared with the suffix before, then the rest.
+1. Each block lists the distinct 20-grams it marked, by 48 bits of their hashes;
+   a part answers with a bit for each, whether another block has it too.
+   Others can't be in a repeat, and a needless bit costs only work.
+2. Each block takes its marked suffixes that remain (and those that two of its
+   own documents share) with what lies left of them, each distinct one once
+   with the least document it is in, and sends them as a sorted front-coded
+   run: the length of the prefix shared with the suffix before, then the rest.
+   However often a block holds a line, it sends it once.
 3. A part merges its runs with a loser tree that keeps, for every run, the
    prefix its head shares with the last suffix put out.  Heads with different
-   lengths are ordered by these alone; others are compared from there on.
+   lengths are ordered by these alone; others are compared from there on.  Runs
+   are decoded one suffix at a time, so that a part holds them front-coded.
 4. Strings that begin up to 30 bytes before the mark are equal when the merged
    order puts their right sides under one prefix and the order of the reversed
-   left sides puts these under one too.  Both tests are exact.
+   left sides puts these under one too.  Both tests are exact.  The answer to a
+   block is two bytes for each suffix it sent.
 
 Documents: null text is empty; rows without doc_id are left out; rows that
 repeat a doc_id are one document each, none smaller than the other; further
@@ -39,21 +44,34 @@ SPAN = LENGTH - GRAM + 1
 _RUN = "part int, block long, kind int, blob binary"
 
 
+#: Low bits of a hash that give way to the place, the same for every text: equal strings mark equal places.
+_LOW = P.U64((1 << 24) - 1)
+
+
+def _least_places(grams: np.ndarray) -> np.ndarray:
+    """For each run of SPAN hashes the place of the least one, by its high 40 bits, the leftmost of equal ones."""
+    n, step = len(grams) - SPAN + 1, 1 << 23
+    out = np.empty(max(0, n), np.int64)
+    for a in range(0, n, step):
+        own = grams[a:a + step + SPAN - 1]
+        least = P.sliding_min((own & ~_LOW) | np.arange(len(own), dtype=P.U64), SPAN)
+        out[a:a + step] = (least & _LOW).astype(np.int64) + a
+    return out
+
+
 def marks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marked places of documents in buf: place, hash of its 20-gram, document, and least and greatest distance of the strings it stands for."""
+    none = (np.empty(0, np.int64), np.empty(0, P.U64), *(np.empty(0, np.int64) for _ in range(3)))
     starts = np.arange(max(0, len(buf) - LENGTH + 1))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if not len(starts):
-        return (np.empty(0, np.int64), np.empty(0, P.U64), *(np.empty(0, np.int64) for _ in range(3)))
+        return none
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = doc[:len(starts)] == doc[LENGTH - 1:]
     grams = P.byte_grams(buf, GRAM)
-    bits = max(1, int(len(grams)).bit_length())
-    low = P.U64((1 << bits) - 1)
-    least = P.sliding_min((grams & ~low) | np.arange(len(grams), dtype=P.U64), SPAN)
-    at = (least & low).astype(np.int64)[inside]
+    at = _least_places(grams)[inside]
     starts = starts[inside]
     if not len(at):
-        return (np.empty(0, np.int64), np.empty(0, P.U64), *(np.empty(0, np.int64) for _ in range(3)))
+        return none
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, len(at) - 1]
     place = at[first]
@@ -71,34 +89,39 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({"part": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "blob": pa.array(cols[3], pa.binary())})
 
 
+#: Bits of a hash that the lists of 20-grams leave out.
+_CUT = P.U64(16)
+
+
+def _listed(grams: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The distinct keys of some 20-grams, sorted, and the range of each part."""
+    keys = np.unique(grams >> _CUT)
+    return keys, list(P.by_part(keys << _CUT, parts))
+
+
 def _grams_of_block(parts: int):
     def run(key, table):
         ids, buf, offsets = P.ordered(table)
-        keys = [np.unique(m[1]) for *_, m in _sliced(ids, buf, offsets)]
-        keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, P.U64)
-        return _rows([(p, key[0].as_py(), 0, P.pack_sorted(keys[s])) for p, s in P.by_part(keys, parts)])
+        found = [np.unique(m[1]) for *_, m in _sliced(ids, buf, offsets)]
+        keys, ranges = _listed(np.concatenate(found) if found else np.empty(0, P.U64), parts)
+        return _rows([(p, key[0].as_py(), 0, P.pack_sorted(keys[s])) for p, s in ranges])
 
     return run
 
 
-def shared_keys(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    """For rows (block, blob): the keys of each block that other blocks have too."""
+def _shared(table):
+    """A bit for each key of each block: whether another block has it."""
+    part = table.column("part")[0].as_py()
     blocks = table.column("block").to_pylist()
     runs = [P.unpack_sorted(x) for x in table.column("blob").to_pylist()]
     keys = np.concatenate(runs) if runs else np.empty(0, P.U64)
     order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
+    same = keys[order][1:] == keys[order][:-1]
     shared = np.zeros(len(keys), bool)
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
     edges = np.cumsum([0, *map(len, runs)])
-    return blocks, [r[shared[a:b]] for r, a, b in zip(runs, edges, edges[1:], strict=False)]
-
-
-def _shared(table):
-    part = table.column("part")[0].as_py()
-    return _rows([(part, b, 1, P.pack_sorted(k)) for b, k in zip(*shared_keys(table), strict=True) if len(k)])
+    return _rows([(part, b, 1, np.packbits(shared[a:z]).tobytes()) for b, a, z in zip(blocks, edges, edges[1:], strict=False) if shared[a:z].any()])
 
 
 def front_code(suffixes: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -111,15 +134,6 @@ def front_code(suffixes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, suffixes[np.arange(width)[None, :] >= lcp[:, None]].tobytes()
 
 
-def front_decode(lcp: np.ndarray, rest: bytes, width: int) -> list[bytes]:
-    out, at, last = [], 0, b""
-    for k in lcp.tolist():
-        last = last[:k] + rest[at:at + width - k]
-        at += width - k
-        out.append(last)
-    return out
-
-
 def _windows(buf: np.ndarray, start: np.ndarray, width: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """buf[start : start + width] of each row, zero outside [low, high)."""
     at = start[:, None] + np.arange(width)[None, :]
@@ -127,72 +141,108 @@ def _windows(buf: np.ndarray, start: np.ndarray, width: int, low: np.ndarray, hi
     return np.where(ok, buf[np.clip(at, 0, len(buf) - 1)], np.uint8(0))
 
 
-def _runs_of_block(parts: int):
-    def run(key, left, right):
-        if not left.num_rows:
-            return _rows([])
-        ids, buf, offsets = P.ordered(left)
-        live = np.concatenate([P.unpack_sorted(x) for x in right.column("blob").to_pylist()] or [np.empty(0, P.U64)])
-        live.sort()
-        pieces = [(a, text, own, m) for a, text, own, m in _sliced(ids, buf, offsets)]
-        # 20-grams that documents of this very block share; two rows of one doc_id count as one
-        _, rank = np.unique(ids, return_inverse=True)
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """The rank of each document of a block; rows of one doc_id share it."""
+    return np.cumsum(np.r_[False, ids[1:] != ids[:-1]])
+
+
+class _Block:
+    """The marked suffixes of a block that may be in repeats.
+
+    part, right, left, near, far, least: of each distinct one, sorted by part
+    and right side; entry, rank, doc, start: of each place, the number of its
+    suffix, the rank and row of its document, and the place in it."""
+
+    def __init__(self, table: pa.Table, replies: pa.Table, parts: int) -> None:
+        self.ids, self.buf, self.offsets = P.ordered(table)
+        rank = _ranks(self.ids)
+        pieces = [(a, text, own, m) for a, text, own, m in _sliced(self.ids, self.buf, self.offsets)]
         grams = np.concatenate([m[1] for *_, m in pieces] or [np.empty(0, P.U64)])
-        docs = np.concatenate([rank[m[2] + a] for a, _, _, m in pieces] or [np.empty(0, np.int64)])
-        order = np.lexsort((docs, grams))
-        g, d = grams[order], docs[order]
-        local = np.unique(g[1:][(g[1:] == g[:-1]) & (d[1:] != d[:-1])])
-        live = np.union1d(live, local)
-        found: list[tuple] = []
+        keys, ranges = _listed(grams, parts)
+        live = np.zeros(len(keys), bool)
+        said = {p: b for p, k, b in zip(*(replies.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True) if k == 1}
+        for p, s in ranges:
+            if p in said:
+                live[s] = np.unpackbits(np.frombuffer(said[p], np.uint8), count=s.stop - s.start)
+        live = keys[live]
+        # 20-grams that documents of this very block share; two rows of one doc_id count as one
+        ranks = np.concatenate([rank[m[2] + a] for a, _, _, m in pieces] or [np.empty(0, np.int64)])
+        order = np.lexsort((ranks, grams))
+        g, d = grams[order], ranks[order]
+        live = np.union1d(live, np.unique(g[1:][(g[1:] == g[:-1]) & (d[1:] != d[:-1])] >> _CUT))
+        del g, d, order, ranks, grams
+        found = []
         for a, text, own, (place, gram, doc, near, far) in pieces:
-            keep = P.found_in(gram, live)
+            keep = P.found_in(gram >> _CUT, live)
             place, gram, doc, near, far = (x[keep] for x in (place, gram, doc, near, far))
             if len(place):
-                right_side = _windows(text, place, LENGTH, place, np.minimum(own[doc + 1], place + LENGTH - near))
-                left_side = _windows(text, place - (SPAN - 1), SPAN - 1, place - far, place)[:, ::-1]
-                found.append((gram, right_side, left_side, doc + a, place - own[doc], near, far))
-        if not found:
+                right = _windows(text, place, LENGTH, place, np.minimum(own[doc + 1], place + LENGTH - near))
+                left = _windows(text, place - (SPAN - 1), SPAN - 1, place - far, place)[:, ::-1]
+                part = (gram // P.U64((1 << 64) // parts)).astype(np.int64)
+                # the widths come last and aren't zero, so that rows are compared in whole
+                found.append((part, np.column_stack([right, left, (near + 1).astype(np.uint8), (far + 1).astype(np.uint8)]), doc + a, place - own[doc]))
+        none = (np.empty(0, np.int64), np.empty((0, LENGTH + SPAN + 1), np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
+        part, rows, self.doc, self.start = (np.concatenate(x) for x in (zip(*found, strict=True) if found else ((x,) for x in none)))
+        self.rank = rank[self.doc]
+        order = np.lexsort((self.rank, rows.view(f"S{rows.shape[1]}")[:, 0], part)) if len(rows) else np.empty(0, np.int64)
+        sorted_rows, sorted_part = rows[order], part[order]
+        new = np.r_[True, (sorted_part[1:] != sorted_part[:-1]) | (sorted_rows[1:] != sorted_rows[:-1]).any(1)][:len(rows)]
+        first = np.flatnonzero(new)
+        self.entry = np.empty(len(rows), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.part, rows = sorted_part[first], sorted_rows[first]
+        self.right, self.left = rows[:, :LENGTH], rows[:, LENGTH:LENGTH + SPAN - 1]
+        self.near, self.far = rows[:, -2].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
+        self.least = self.rank[order][first]
+
+    def ranges(self):
+        for p in np.unique(self.part).tolist():
+            yield p, slice(int(np.searchsorted(self.part, p)), int(np.searchsorted(self.part, p, "right")))
+
+
+def _runs_of_block(parts: int):
+    def run(key, left, right):
+        if not left.num_rows:
             return _rows([])
-        gram, right_side, left_side, doc, place, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        part = (gram // P.U64((1 << 64) // parts)).astype(np.int64)
-        order = np.lexsort((np.ascontiguousarray(right_side).view(f"S{LENGTH}")[:, 0], part))
-        part = part[order]
-        out = []
-        for p in np.unique(part).tolist():
-            take = order[np.searchsorted(part, p):np.searchsorted(part, p, "right")]
-            lcp, rest = front_code(right_side[take])
-            sides, widths = left_side[take], far[take]
-            columns = [np.array([len(take), len(rest)], np.int64), ids[doc[take]], doc[take].astype(np.int32), place[take].astype(np.int64), lcp, near[take].astype(np.uint8), widths.astype(np.uint8)]
-            out.append((p, key[0].as_py(), 2, b"".join(x.tobytes() for x in columns) + rest + sides[np.arange(SPAN - 1)[None, :] < widths[:, None]].tobytes()))
+        block, out = _Block(left, right, parts), []
+        for p, s in block.ranges():
+            lcp, rest = front_code(block.right[s])
+            far = block.far[s]
+            sides = block.left[s][np.arange(SPAN - 1)[None, :] < far[:, None]].tobytes()
+            columns = [np.array([len(far), len(rest)], np.int64), block.least[s].astype(np.int32), lcp, block.near[s].astype(np.uint8), far.astype(np.uint8)]
+            out.append((p, key[0].as_py(), 2, P.squeeze(b"".join(x.tobytes() for x in columns) + rest + sides)))
         return _rows(out)
 
     return run
 
 
-def _read_run(blob: bytes) -> dict:
-    n, rest = np.frombuffer(blob, np.int64, 2).tolist()
+def _read_run(blob: bytes, block: int) -> dict:
+    raw = P.unsqueeze(blob)
+    n, rest = np.frombuffer(raw, np.int64, 2).tolist()
     at, out = 16, {}
-    for name, kind in (("id", np.int64), ("doc", np.int32), ("place", np.int64), ("lcp", np.uint8), ("near", np.uint8), ("far", np.uint8)):
-        out[name] = np.frombuffer(blob, kind, n, at)
+    for name, kind in (("least", np.int32), ("lcp", np.uint8), ("near", np.uint8), ("far", np.uint8)):
+        out[name] = np.frombuffer(raw, kind, n, at)
         at += n * np.dtype(kind).itemsize
-    out["suffix"] = front_decode(out["lcp"], blob[at:at + rest], LENGTH)
     left = np.zeros((n, SPAN - 1), np.uint8)
-    left[np.arange(SPAN - 1)[None, :] < out["far"][:, None].astype(np.int64)] = np.frombuffer(blob, np.uint8, -1, at + rest)
-    return out | {"left": left}
+    left[np.arange(SPAN - 1)[None, :] < out["far"][:, None].astype(np.int64)] = np.frombuffer(raw, np.uint8, -1, at + rest)
+    # blocks are ranges of doc_id, so this orders documents of all blocks
+    return out | {"order": (np.int64(block) << 32) + out["least"], "rest": raw[at:at + rest], "left": left}
 
 
-def loser_tree(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int]]:
-    """Merge sorted runs of (shared prefix with the row before, suffix).
+def loser_tree(runs: list[tuple[bytes, bytes]], width: int = LENGTH) -> Iterator[tuple[int, int]]:
+    """Merge sorted front-coded runs of (shared prefix with the row before, a byte each; the rests).
 
     Yields (run, shared prefix with the suffix put out before).  Of two heads
     the one that shares more with the last suffix is smaller; only heads that
-    share equally much are compared, from that place on."""
+    share equally much are compared, from that place on.  Of each run only the
+    head is decoded."""
     k = 1
     while k < max(1, len(runs)):
         k *= 2
     at = [0] * k
-    sizes = [len(s) for _, s in runs] + [0] * (k - len(runs))
-    head: list[bytes | None] = [r[1][0] if r[1] else None for r in runs] + [None] * (k - len(runs))
+    sizes = [len(lcp) for lcp, _ in runs] + [0] * (k - len(runs))
+    head: list[bytes | None] = [r[1][:width] if r[0] else None for r in runs] + [None] * (k - len(runs))
+    read = [width] * k
     shares = [0] * k
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -233,7 +283,10 @@ def loser_tree(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
         yield won, shares[won]
         at[won] += 1
         if at[won] < sizes[won]:
-            shares[won], head[won] = runs[won][0][at[won]], runs[won][1][at[won]]
+            lcp, rest = runs[won]
+            shares[won] = same = lcp[at[won]]
+            head[won] = head[won][:same] + rest[read[won]:read[won] + width - same]
+            read[won] += width - same
         else:
             head[won] = None
         node = (won + k) // 2
@@ -253,23 +306,24 @@ def _classes(order: np.ndarray, shared: np.ndarray) -> "callable":
 
 
 def _merged(table):
-    """The places of one part whose strings start in an earlier document, as runs of removed bytes for each block."""
+    """For each suffix of each block the least and greatest distance at which its string starts in an earlier document too; (255, 0) if none does."""
     part = table.column("part")[0].as_py()
     blocks = table.column("block").to_pylist()
-    runs = [_read_run(x) for x in table.column("blob").to_pylist()]
-    size = np.cumsum([0] + [len(r["id"]) for r in runs])
-    ids, near, far, left = (np.concatenate([r[c] for r in runs]) for c in ("id", "near", "far", "left"))
-    steps = np.fromiter((r << 8 | s for r, s in loser_tree([(r["lcp"].tolist(), r.pop("suffix")) for r in runs])), np.int64, size[-1])
+    runs = [_read_run(x, b) for x, b in zip(table.column("blob").to_pylist(), blocks, strict=True)]
+    size = np.cumsum([0] + [len(r["near"]) for r in runs])
+    order_of, near, far, left = (np.concatenate([r.pop(c) for r in runs]) for c in ("order", "near", "far", "left"))
+    steps = np.fromiter((r << 8 | s for r, s in loser_tree([(r["lcp"].tobytes(), r["rest"]) for r in runs])), np.int64, size[-1])
+    del runs
     run, shared = steps >> 8, steps & 255
     seen = np.empty(len(run), np.int64)
-    by_run = np.argsort(run, kind="stable")
-    seen[by_run] = np.arange(len(run))
+    seen[np.argsort(run, kind="stable")] = np.arange(len(run))
     right_class = _classes(seen, shared)
     left_order = np.argsort(np.ascontiguousarray(left).view(f"S{SPAN - 1}")[:, 0], kind="stable")
     sorted_left = left[left_order]
     differ = sorted_left[1:] != sorted_left[:-1]
     left_class = _classes(left_order, np.r_[0, np.where(differ.any(1), differ.argmax(1), SPAN)])
-    low, high = np.full(len(ids), 255, np.int64), np.full(len(ids), -1, np.int64)
+    del left, sorted_left, differ, steps, run
+    low, high = np.full(len(order_of), 255, np.uint8), np.zeros(len(order_of), np.uint8)
     for o in range(SPAN):
         rows = np.flatnonzero((near <= o) & (far >= o))
         if not len(rows):
@@ -278,67 +332,72 @@ def _merged(table):
         order = np.argsort(key, kind="stable")
         key, rows = key[order], rows[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        least = np.repeat(np.minimum.reduceat(ids[rows], first), np.diff(np.r_[first, len(rows)]))
-        hit = rows[ids[rows] > least]
+        least = np.repeat(np.minimum.reduceat(order_of[rows], first), np.diff(np.r_[first, len(rows)]))
+        hit = rows[order_of[rows] > least]
         low[hit] = np.minimum(low[hit], o)
         high[hit] = np.maximum(high[hit], o)
-    out = []
-    for b, r, a, z in zip(blocks, runs, size, size[1:], strict=False):
-        hit = np.flatnonzero(high[a:z] >= 0)
-        if len(hit):
-            start = r["place"][hit] - high[a:z][hit]
-            end = r["place"][hit] - low[a:z][hit] + LENGTH
-            base = r["doc"][hit].astype(np.int64) << 40
-            order = np.argsort(base + start, kind="stable")
-            doc, start, end, base = r["doc"][hit][order], start[order], end[order], base[order]
-            first = np.flatnonzero(np.r_[True, (base + start)[1:] > np.maximum.accumulate(base + end)[:-1]])
-            out.append((part, b, 3, np.array([len(first)], np.int64).tobytes() + doc[first].tobytes() + start[first].tobytes() + np.maximum.reduceat(end, first).tobytes()))
-    return _rows(out)
-
-
-def _cut_block(key, left, right):
-    ids, buf, offsets = P.ordered(left)
-    gone = np.zeros(len(buf) + 1, np.int32)
-    for blob in right.column("blob").to_pylist():
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        doc = np.frombuffer(blob, np.int32, n, 8)
-        start, end = (np.frombuffer(blob, np.int64, n, 8 + 4 * n + i * 8 * n) for i in range(2))
-        np.add.at(gone, offsets[doc] + start, 1)
-        np.add.at(gone, offsets[doc] + end, -1)
-    gone = np.cumsum(gone[:-1]) > 0
-    edge = np.zeros(len(buf) + 1, bool)
-    edge[offsets] = True
-    opens = gone & (edge[:-1] | ~np.r_[False, gone[:-1]])
-    removed = np.r_[0, np.cumsum(gone)][offsets]
-    spans = np.r_[0, np.cumsum(opens)][offsets]
-    texts = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-    return pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "n_spans": pa.array(np.diff(spans), pa.int64()),
-        "kept_bytes": pa.array(texts, pa.binary()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-    })
-
-
-def _cut_block_digest(key, left, right):
-    return _cut_block(key, left, right).drop_columns(["kept_bytes"])
+    return _rows([(part, b, 3, P.squeeze(low[a:z].tobytes() + high[a:z].tobytes())) for b, a, z in zip(blocks, size, size[1:], strict=False) if (low[a:z] < 255).any()])
+
+
+def _cut_block(parts: int, texts: bool):
+    def run(key, left, right):
+        block = _Block(left, right, parts)
+        ids, buf, offsets = block.ids, block.buf, block.offsets
+        low, high = np.full(len(block.near), 255, np.int64), np.zeros(len(block.near), np.int64)
+        said = {p: b for p, k, b in zip(*(right.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True) if k == 3}
+        for p, s in block.ranges():
+            if p in said:
+                low[s], high[s] = np.frombuffer(P.unsqueeze(said[p]), np.uint8).reshape(2, -1)
+        low, high = low[block.entry], high[block.entry]
+        # an earlier document of this very block has all strings of the suffix
+        again = block.rank > block.least[block.entry]
+        low[again], high[again] = block.near[block.entry[again]], block.far[block.entry[again]]
+        hit = low < 255
+        begin = offsets[block.doc[hit]] + block.start[hit]
+        gone = np.zeros(len(buf) + 1, np.int32)
+        np.add.at(gone, begin - high[hit], 1)
+        np.add.at(gone, begin - low[hit] + LENGTH, -1)
+        del block, low, high, again, hit, begin
+        gone = np.cumsum(gone[:-1]) > 0
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[offsets] = True
+        opens = gone & (edge[:-1] | ~np.r_[False, gone[:-1]])
+        removed = np.r_[0, np.cumsum(gone)][offsets]
+        spans = np.r_[0, np.cumsum(opens)][offsets]
+        kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
+        columns = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "n_spans": pa.array(np.diff(spans), pa.int64())}
+        if texts:
+            columns["kept_bytes"] = pa.array(kept, pa.binary())
+            same = np.r_[False, (ids[1:] == ids[:-1]) & np.array([buf[a:b].tobytes() == buf[b:c].tobytes() for a, b, c in zip(offsets, offsets[1:], offsets[2:], strict=False)], bool)][:len(ids)]
+            columns["again"] = pa.array(same, pa.bool_())
+            columns["text_md5"] = pa.array([hashlib.md5(buf[a:b].tobytes(), usedforsecurity=False).digest() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+        return pa.table(columns | {"kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())})
+
+    return run
 
 
 def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; if asked for, also kept_bytes, text_md5 (a digest of the whole text) and again (whether a row with this doc_id and text came before)."""
     blocked, _ = P.with_blocks(docs)
     parts = 2 * P.shuffle_parts(docs.sparkSession)
     grams = blocked.groupBy("block").applyInArrow(_grams_of_block(parts), _RUN)
     live = grams.groupBy("part").applyInArrow(_shared, _RUN)
     runs = blocked.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(_runs_of_block(parts), _RUN)
     gone = runs.groupBy("part").applyInArrow(_merged, _RUN)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept_bytes binary" * keep_bytes + ", kept_sha256 string"
-    return blocked.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_cut_block if keep_bytes else _cut_block_digest, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept_bytes binary, again boolean, text_md5 binary" * keep_bytes + ", kept_sha256 string"
+    return blocked.groupBy("block").cogroup(live.unionAll(gone).groupBy("block")).applyInArrow(_cut_block(parts, keep_bytes), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the bytes left by dedup() as their text.
 
     Where a span began or ended inside a character, its bytes become U+FFFD.
-    A null text stays null, and so do other columns stay as they are."""
-    rest = dedup(docs).where("n_removed > 0").select("doc_id", F.expr("make_valid_utf8(cast(kept_bytes as string))").alias("_kept"))
-    out = docs.join(rest.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    A null text stays null, and so do other columns stay as they are, whatever
+    their names.  Rows that repeat a doc_id are told apart by their texts."""
+    of, key, kept, own, at = P.fresh(docs, "of", "key", "kept", "own", "at")
+    rest = dedup(docs).where("NOT again").select(F.col("doc_id").alias(of), F.col("text_md5").alias(key), F.expr("make_valid_utf8(cast(kept_bytes as string))").alias(kept))
+    # only what is left of the texts is moved, not the texts
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.where("doc_id IS NOT NULL").select(*others, F.col("doc_id").cast("long").alias(own), P.text_key().alias(at))
+    out = rows.join(rest, (F.col(own) == F.col(of)) & (F.col(at) == F.col(key)), "left").withColumnRenamed(kept, "text")
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
