@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), packed.made()
     for name, stage in STAGES:
         docs = packed.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        # what the stage has read and kept for itself isn't needed any more
+        packed.sweep(spark, [*before, docs.tidemark_path])
     return docs
