@@ -58,7 +58,8 @@ def windows_of(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
             at.append(whole + n)
             key.append(P.word_grams(words, window)[whole])
             check.append(P.word_grams(second, window)[whole])
-            sign.append(P.sliding_min(P.word_grams(words, gram), window - gram + 1)[whole])
+            # least hashes are small ones: mixed again, or most would fall to the first parts
+            sign.append(P.mix(P.sliding_min(P.word_grams(words, gram), window - gram + 1)[whole]))
         first.append(begins[1:] + n)
         n += len(words)
     cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)

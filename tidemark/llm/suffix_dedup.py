@@ -75,7 +75,8 @@ def marks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, len(at) - 1]
     place = at[first]
-    return place, grams[place], doc[place], place - starts[last], place - starts[first]
+    # least hashes are small ones: mixed again, or most would fall to the first parts
+    return place, P.mix(grams[place]), doc[place], place - starts[last], place - starts[first]
 
 
 def _sliced(ids, buf, offsets) -> Iterator[tuple]:
@@ -379,9 +380,10 @@ def _cut_block(parts: int, texts: bool):
 def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; if asked for, also kept_bytes, text_md5 (a digest of the whole text) and again (whether a row with this doc_id and text came before)."""
     blocked, _ = P.with_blocks(docs)
-    parts = 2 * P.shuffle_parts(docs.sparkSession)
+    parts = P.shuffle_parts(docs.sparkSession)
     grams = blocked.groupBy("block").applyInArrow(_grams_of_block(parts), _RUN)
-    live = grams.groupBy("part").applyInArrow(_shared, _RUN)
+    # a bit for each key, used twice
+    live = P.stored(grams.groupBy("part").applyInArrow(_shared, _RUN), "live")
     runs = blocked.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(_runs_of_block(parts), _RUN)
     gone = runs.groupBy("part").applyInArrow(_merged, _RUN)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long" + ", kept_bytes binary, again boolean, text_md5 binary" * keep_bytes + ", kept_sha256 string"
