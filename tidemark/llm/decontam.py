@@ -67,7 +67,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def rare_terms(found: DataFrame, docs: DataFrame, rare: int = RARE) -> DataFrame:
     """For each window the `rare` rarest of its distinct terms in the corpus: window_id, order (0: rarest), term, offset."""
     terms = found.select("window_id", F.posexplode("window").alias("offset", "term")).groupBy("window_id", "term").agg(F.min("offset").alias("offset"))
-    vocabulary = terms.select("term").distinct()
+    vocabulary = P.lookup(P.stored(terms.select("term").distinct(), "vocabulary"), WINDOWS)
     counts = _tokens(docs).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rank = F.expr("row_number() OVER (PARTITION BY window_id ORDER BY coalesce(n, 0), term) - 1").alias("nth")
     return terms.join(counts, "term", "left").select("window_id", rank, "term", "offset", F.coalesce("n", F.lit(0)).alias("n")).where(f"nth < {rare}")
