@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks that end a sentence, and closers that may follow them (fixed values).
-TERMINAL, CLOSERS = ".!?…。！？", "\"'”’)]」』"
+#: Marks that end a sentence, closers that may follow them, and marks that end one inside a Japanese unit (fixed values).
+TERMINAL, CLOSERS, JAPANESE = ".?!…。？！｡‼⁇⁈⁉", "\"')]}」』）»", "。？！｡"
 
 
 def normalised(text: Column) -> Column:
@@ -16,7 +16,7 @@ def normalised(text: Column) -> Column:
 
 
 def core(word: Column) -> Column:
-    """A word without what isn't a letter or digit at its ends."""
+    """A word without what isn't a letter or digit at its ends; empty if nothing is."""
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
@@ -32,8 +32,10 @@ def similar(a: Column, b: Column) -> Column:
     return a.startswith(b) | b.startswith(a) | (F.levenshtein(a, b, 2) >= 0)
 
 
-def ends_sentence(text: Column) -> Column:
-    return F.rtrim(text).rlike(rf"[{TERMINAL}][{CLOSERS.replace(']', chr(92) + ']')}]*$")
+def ends_sentence(text: Column, japanese: bool = False) -> Column:
+    """Whether a unit ends with a mark and closers after it; a Japanese unit ends a sentence by a mark anywhere in it."""
+    last = text.rlike(rf"[{TERMINAL}][{CLOSERS.replace(']', chr(92) + ']')}]*\p{{IsWhite_Space}}*$")
+    return last | text.rlike(f"[{JAPANESE}]") if japanese else last
 
 
 def clock(seconds: Column) -> Column:

@@ -49,12 +49,33 @@ def snapped(points: DataFrame, candidates: DataFrame, by: str, point: str, back:
     return points.join(best, [by, point], "left").withColumn("snapped", F.coalesce("b.at", "t")).drop("b")
 
 
-def complement(cuts: DataFrame, by: str, total: float) -> DataFrame:
-    """What is left of [0, total) after cuts (from_s, to_s); cuts that touch are one."""
+def complement(cuts: DataFrame, by: str, total: float, groups: DataFrame | None = None) -> DataFrame:
+    """What is left of [0, total) after cuts (from_s, to_s); cuts that touch are one.
+
+    A group of `groups` (its column `by`) without cuts keeps all of [0, total)."""
     reach = F.expr(f"max(to_s) OVER (PARTITION BY {by} ORDER BY from_s, to_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     gaps = cuts.withColumn("_to", F.coalesce(reach, F.lit(0.0))).where("from_s > _to").select(by, F.col("_to").alias("from_s"), F.col("from_s").alias("to_s"))
     tail = cuts.groupBy(by).agg(F.max("to_s").alias("from_s")).where(f"from_s < {total}").withColumn("to_s", F.lit(total))
-    return gaps.unionByName(tail)
+    left = gaps.unionByName(tail)
+    if groups is None:
+        return left
+    whole = groups.select(by).distinct().join(cuts.select(by), by, "left_anti")
+    return left.unionByName(whole.select(by, F.lit(0.0).alias("from_s"), F.lit(total).alias("to_s")))
+
+
+def without(kept: DataFrame, gone: DataFrame, by: str) -> DataFrame:
+    """Kept spans (by, from_s, to_s) without one removed span (lo, hi) a group: what lies before and after it; pieces of nothing go."""
+    both = kept.join(gone.select(by, "lo", "hi"), by, "left")
+    pieces = F.array(F.struct("from_s", F.least("to_s", F.coalesce("lo", "to_s")).alias("to_s")), F.struct(F.greatest("from_s", F.coalesce("hi", "to_s")).alias("from_s"), "to_s"))
+    return both.select(by, F.explode(pieces).alias("x")).select(by, "x.from_s", "x.to_s").where("from_s < to_s")
+
+
+def touching(spans: DataFrame, by: str, slack: float = 1e-6) -> DataFrame:
+    """Spans (by, idx, start_s, end_s) in the order of idx, those that begin where the one before ends put together."""
+    order = f"PARTITION BY {by} ORDER BY idx"
+    begins = spans.withColumn("_new", F.expr(f"coalesce(abs(start_s - lag(end_s) OVER ({order})) >= {slack}, true)"))
+    run = begins.withColumn("run", F.expr(f"sum(int(_new)) OVER ({order} ROWS UNBOUNDED PRECEDING)"))
+    return run.groupBy(by, "run").agg(F.min_by("start_s", "idx").alias("from_s"), F.max_by("end_s", "idx").alias("to_s")).drop("run")
 
 
 def first_within(points: DataFrame, spans: DataFrame, by: str, point: str, span: str, slack: float, cell: float) -> DataFrame:

@@ -32,11 +32,11 @@ def grown(values, peak: int, width: float, lead: float, least: float, most: floa
     """The range around a peak in which the series holds 0.45 of it (0.5 at least)."""
     bar, limit = max(0.45 * values[peak], 0.5), math.ceil(most / width)
     left = right = peak
-    while left > 0 and values[left - 1] >= bar and peak - left < limit:
+    while left > 0 and peak - left < limit and values[left - 1] >= bar:
         left -= 1
     while right + 1 < len(values) and values[right + 1] >= bar and right - peak < limit:
         right += 1
-    at, total = peak * width, len(values) * width
+    at, total = peak * width + width / 2, len(values) * width
     start = max(min(at - lead, left * width - 1.0), at - max(0.35 * most, lead), 0.0)
     end = min(max((right + 1) * width + 2.0, start + least), start + most, total)
     if end - start < least:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 
 
-def split(units: DataFrame, by: str, gap: float = 1.25) -> DataFrame:
+def split(units: DataFrame, by: str, gap: float = 1.25, japanese: bool = False) -> DataFrame:
     """Units (by, idx, text, start_s, end_s) as sentences: closed by final punctuation or a pause of more than `gap`; the last one only by punctuation."""
     order = f"PARTITION BY {by} ORDER BY idx"
-    ends = units.withColumn("_end", T.ends_sentence(F.col("text"))).withColumn("_next", F.expr(f"lead(start_s) OVER ({order})"))
+    ends = units.withColumn("_end", T.ends_sentence(F.col("text"), japanese)).withColumn("_next", F.expr(f"lead(start_s) OVER ({order})"))
     shut = ends.withColumn("_shut", F.col("_end") | F.coalesce(F.col("_next") - F.col("end_s") > gap, F.lit(False)))
     run = shut.withColumn("sentence", F.expr(f"coalesce(sum(cast(_shut AS int)) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")

@@ -61,12 +61,12 @@ def peaks(series: DataFrame, least: float) -> DataFrame:
 
 
 def combine(parts: list[tuple[DataFrame, float]]) -> DataFrame:
-    """Weighted sum of series on one grid."""
+    """Weighted sum of series on one grid; a bin that a series lacks counts as 0 there."""
     out = None
     for k, (series, weight) in enumerate(parts):
         own = series.select("series_id", "bin", (F.col("v") * weight).alias(f"v{k}"))
-        out = own if out is None else out.join(own, ["series_id", "bin"])
-    return out.select("series_id", "bin", sum((F.col(f"v{k}") for k in range(1, len(parts))), F.col("v0")).alias("v"))
+        out = own if out is None else out.join(own, ["series_id", "bin"], "full")
+    return out.select("series_id", "bin", sum((F.coalesce(f"v{k}", F.lit(0.0)) for k in range(1, len(parts))), F.coalesce("v0", F.lit(0.0))).alias("v"))
 
 
 def mask_runs(series: DataFrame, tau: float) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 
 def layered(rows: DataFrame) -> DataFrame:
     """Corrections (layer, pos, wrong, right, at_s): one row per (lower wrong, at_s), the upper layer wins but a blank right never hides a filled one; the first position stays."""
@@ -17,8 +18,8 @@ def layered(rows: DataFrame) -> DataFrame:
 
 
 def harvested(words: DataFrame, known: DataFrame, least: float, chars: int, top: int) -> DataFrame:
-    """Words (clip, idx, word, confidence) that are unsure, long enough and not known: the first of each, the least confident `top` of a clip."""
-    own = words.withColumn("core", F.lower(F.trim("word"))).where((F.col("confidence") < least) & (F.length("core") >= chars) & F.col("core").rlike(r"\p{L}"))
+    """Words (clip, idx, word, confidence) that are unsure, long enough without marks at their ends, and not known: the first of each, the least confident `top` of a clip."""
+    own = words.withColumn("core", F.lower(T.core(F.col("word")))).where((F.col("confidence") < least) & (F.length("core") >= chars) & F.col("core").rlike(r"\p{L}"))
     first = own.withColumn("_k", F.expr("row_number() OVER (PARTITION BY clip, core ORDER BY idx)")).where("_k = 1")
     new = first.join(known.select(F.lower("word").alias("core")).distinct(), "core", "left_anti")
     rank = F.expr("row_number() OVER (PARTITION BY clip ORDER BY confidence, idx)")

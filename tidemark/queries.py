@@ -121,18 +121,18 @@ def interval_overlap_join(spark, d):
     return _round(intervals.cut_to(*_spans(spark, d), "user_id", 7200.0).select("user_id", "event_id", "lo", "hi"), "lo", "hi", places=3)
 
 
-@query(f"WITH {_PIECES}, c AS (SELECT *, max(to_s) OVER (PARTITION BY user_id ORDER BY from_s, to_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k), g AS (SELECT user_id, coalesce(reach, 0) AS from_s, from_s AS to_s FROM c WHERE from_s > coalesce(reach, 0) UNION ALL SELECT user_id, max(to_s), 2592000 FROM k GROUP BY 1 HAVING max(to_s) < 2592000) SELECT user_id, round(from_s, 3) AS from_s, round(to_s, 3) AS to_s FROM g")
+@query(f"WITH {_PIECES}, c AS (SELECT *, max(to_s) OVER (PARTITION BY user_id ORDER BY from_s, to_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k), g AS (SELECT user_id, coalesce(reach, 0) AS from_s, from_s AS to_s FROM c WHERE from_s > coalesce(reach, 0) UNION ALL SELECT user_id, max(to_s), 2592000 FROM k GROUP BY 1 HAVING max(to_s) < 2592000 UNION ALL SELECT DISTINCT user_id, 0, 2592000 FROM ev WHERE user_id NOT IN (SELECT user_id FROM k)) SELECT user_id, round(from_s, 3) AS from_s, round(to_s, 3) AS to_s FROM g")
 def timeline_complement(spark, d):
-    return _round(intervals.complement(_spans(spark, d)[1], "user_id", 2592000.0), "from_s", "to_s", places=3)
+    return _round(intervals.complement(_spans(spark, d)[1], "user_id", 2592000.0, timed(spark, d)), "from_s", "to_s", places=3)
 
 
-_GAPS = f"{_PIECES}, c AS (SELECT *, max(to_s) OVER (PARTITION BY user_id ORDER BY from_s, to_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k), kept AS (SELECT user_id, coalesce(reach, 0) AS from_s, from_s AS to_s FROM c WHERE from_s > coalesce(reach, 0) UNION ALL SELECT user_id, max(to_s), 2592000 FROM k GROUP BY 1 HAVING max(to_s) < 2592000), b AS (SELECT *, coalesce(sum(to_s - from_s) OVER (PARTITION BY user_id ORDER BY from_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM kept), j AS (SELECT p.*, from_s, base, greatest(start_s, from_s) AS lo, least(end_s, to_s) AS hi FROM p JOIN b USING (user_id) WHERE least(end_s, to_s) - greatest(start_s, from_s) > 1e-6), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY hi - lo DESC, from_s DESC) AS n FROM j)"
+_GAPS = f"{_PIECES}, c AS (SELECT *, max(to_s) OVER (PARTITION BY user_id ORDER BY from_s, to_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k), kept AS (SELECT user_id, coalesce(reach, 0) AS from_s, from_s AS to_s FROM c WHERE from_s > coalesce(reach, 0) UNION ALL SELECT user_id, max(to_s), 2592000 FROM k GROUP BY 1 HAVING max(to_s) < 2592000 UNION ALL SELECT DISTINCT user_id, 0, 2592000 FROM ev WHERE user_id NOT IN (SELECT user_id FROM k)), b AS (SELECT *, coalesce(sum(to_s - from_s) OVER (PARTITION BY user_id ORDER BY from_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM kept), j AS (SELECT p.*, from_s, base, greatest(start_s, from_s) AS lo, least(end_s, to_s) AS hi FROM p JOIN b USING (user_id) WHERE least(end_s, to_s) - greatest(start_s, from_s) > 1e-6), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY hi - lo DESC, from_s DESC) AS n FROM j)"
 
 
 @query(f"WITH {_GAPS} SELECT user_id, event_id, round(base + lo - from_s, 2) AS new_start, round(base + hi - from_s, 2) AS new_end FROM r WHERE n = 1")
 def best_overlap_remap(spark, d):
     units, cuts = _spans(spark, d)
-    kept = intervals.complement(cuts, "user_id", 2592000.0)
+    kept = intervals.complement(cuts, "user_id", 2592000.0, timed(spark, d))
     return _round(intervals.best_overlap(units, kept, "user_id", "event_id", 86400.0).select("user_id", "event_id", "new_start", "new_end"), "new_start", "new_end", places=2)
 
 
@@ -155,7 +155,7 @@ def null_aware_score(spark, d):
     return e.select("event_id", F.round(moments.combined_score({"a": 0.5, "b": 0.3, "c": 0.2}), 6).alias("score"))
 
 
-_END = r"'[.!?…。！？][\"''”’)\\]」』]*$'".replace("\\\\", "\\").replace('\\"', '"')
+_END = """'[.?!…。？！｡‼⁇⁈⁉]["'')\\]}」』）»]*$'"""
 
 
 @query(f"WITH {_TURNS}, e AS (SELECT *, regexp_matches(rtrim(text, ' '), {_END}) AS shut0, lead(start_s) OVER (PARTITION BY conv_id ORDER BY idx) AS nx FROM u), f AS (SELECT *, shut0 OR coalesce(nx - end_s > 1.25, false) AS shut FROM e), g AS (SELECT *, coalesce(sum(shut::INT) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM f) SELECT conv_id, sentence, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS units, md5(string_agg(text, ' ' ORDER BY idx)) AS text_md5, bool_or(shut) AS closed FROM g GROUP BY 1, 2")
@@ -179,13 +179,6 @@ def layered_merge(spark, d):
     return stores.layered(p)
 
 
-@query("WITH w AS (SELECT conv_id AS clip, turn AS idx, split_part(text, ' ', 2) AS word, ((conv_id * 7 + turn * 13) % 100) / 100.0::DOUBLE AS confidence FROM conversations WHERE text IS NOT NULL), o AS (SELECT *, lower(trim(word)) AS core FROM w), f AS (SELECT *, row_number() OVER (PARTITION BY clip, core ORDER BY idx) AS k FROM o WHERE confidence < 0.5 AND length(core) >= 4 AND regexp_matches(core, '\\p{L}') AND core NOT IN (SELECT lower(split_part(text, ' ', 1)) FROM benchmark)), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY confidence, idx) AS rank FROM f WHERE k = 1) SELECT clip, core, confidence, rank FROM r WHERE rank <= 8")
-def harvest_candidates(spark, d):
-    unsure = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("clip"), F.col("turn").alias("idx"), F.split_part("text", F.lit(" "), F.lit(2)).alias("word"), (((F.col("conv_id") * 7 + F.col("turn") * 13) % 100) / 100.0).alias("confidence"))
-    known = table(spark, d, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    return stores.harvested(unsure, known, 0.5, 4, 8)
-
-
 @query(f"WITH {_EV}, v AS (SELECT us // {HOUR} AS pos, (event_id % 3)::INT AS variant, series_id AS token FROM ev), n AS (SELECT pos, token, count(*) AS n, max((variant = 0)::INT) AS b FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, b DESC, token) AS k FROM n) SELECT pos, token, n FROM r WHERE k = 1")
 def plurality_vote(spark, d):
     return stores.voted(timed(spark, d).select(F.expr(f"us div {HOUR}L").alias("pos"), (F.col("event_id") % 3).cast("int").alias("variant"), F.col("series_id").alias("token")))
@@ -228,12 +221,6 @@ def fuzzy_words(spark, d):
     return p.join(q, F.col("k") == F.col("p_partkey") + 1).select("p_partkey", T.within_one_edit(F.col("a"), F.col("b")).alias("one_edit"), T.similar(F.col("a"), F.col("b")).alias("similar"))
 
 
-@query("SELECT turn, conv_id, regexp_replace(split_part(coalesce(text, ''), ' ', 1), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') AS core, md5(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g'))) AS letters FROM conversations")
-def text_cores(spark, d):
-    c = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    return c.select("turn", "conv_id", T.core(F.split_part("text", F.lit(" "), F.lit(1))).alias("core"), F.md5(T.alnum_lower(F.col("text"))).alias("letters"))
-
-
 @query("WITH q AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'Other' ELSE c_mktsegment END AS title, c_custkey AS idx, c_name AS wrong FROM customer), g AS (SELECT title, min(idx) AS first_idx, count(*) AS n, md5(string_agg(wrong, '|' ORDER BY idx)) AS items FROM q GROUP BY 1) SELECT title, n, items, row_number() OVER (ORDER BY (title = 'Other')::INT, first_idx) AS place FROM g")
 def review_groups(spark, d):
     q = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, "Other").otherwise(F.col("c_mktsegment")).alias("title"), F.col("c_custkey").alias("idx"), F.col("c_name").alias("wrong"))
@@ -252,7 +239,7 @@ def box_overlap(spark, d):
 @query("WITH o AS (SELECT o_orderkey AS id, o_custkey AS grp, o_totalprice AS score FROM orders) SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS new_id FROM o")
 def rerank_and_renumber(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("grp"), F.col("o_totalprice").alias("score"))
-    return o.select("id", "grp", F.expr("row_number() OVER (PARTITION BY grp ORDER BY score DESC, id)").cast("long").alias("new_id"))
+    return moments.reranked(o.withColumn("new_id", F.col("id")).select("grp", "score", "id", "new_id"), "grp").select(F.col("new_id").alias("id"), "grp", F.col("id").alias("new_id"))
 
 
 @query()
@@ -320,17 +307,6 @@ def caption_marks(spark, d):
 _TOKENS = "tok AS (SELECT conv_id * 1000 + turn AS id, lower(split_part(text, ' ', 2)) AS token FROM conversations WHERE text IS NOT NULL), dict AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS word FROM benchmark), st AS (SELECT item_id AS pos, lower(split_part(text, ' ', 3)) AS wrong, 'r' || item_id AS \"right\" FROM (SELECT row_number() OVER (ORDER BY item_id) AS item_id, text FROM benchmark))"
 
 
-def _words(spark, d):
-    c = table(spark, d, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("token"))
-    b = table(spark, d, "benchmark").withColumn("pos", F.expr("row_number() OVER (ORDER BY item_id)").cast("long"))
-    return c, b.select("pos", F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("wrong"), F.concat(F.lit("r"), F.col("pos").cast("string")).alias("right")), b.select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("word"))
-
-
-@query(f"WITH {_TOKENS}, j AS (SELECT id, token, pos, \"right\", row_number() OVER (PARTITION BY id, token ORDER BY (token <> wrong)::INT, pos) AS n FROM tok JOIN st ON token = wrong OR (length(wrong) >= 4 AND levenshtein(token, wrong) <= 1 AND token NOT IN (SELECT word FROM dict))) SELECT id, token, pos, \"right\" FROM j WHERE n = 1")
-def fuzzy_store_join(spark, d):
-    return words.fuzzy(*_words(spark, d))
-
-
 @query("WITH e AS (SELECT p_partkey AS id, p_name AS wrong, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_type) END AS \"right\" FROM part), c AS (SELECT DISTINCT lower(p_name) AS w, lower(p_type) AS r FROM part WHERE p_size % 2 = 0) SELECT id, wrong, \"right\" FROM e WHERE \"right\" <> '' AND lower(wrong) <> lower(\"right\") AND (lower(wrong), lower(\"right\")) IN (SELECT (w, r) FROM c)")
 def allow_list_gate(spark, d):
     p = table(spark, d, "part")
@@ -363,28 +339,30 @@ def _benchmark_words(spark, d):
     return w.select((F.col("item_id").cast("long") * 100_000 + F.col("k")).alias("pos"), F.lower("word").alias("word"))
 
 
-@query()
-def harvest_whole_texts(spark, d):
-    """harvest_candidates over every word of the turns and of the known texts; its SQL has one word of each."""
+_WORDS = "ww AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL)), bw AS (SELECT item_id * 100000 + k AS pos, lower(word) AS word FROM (SELECT item_id, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)))"
+
+
+@query(f"WITH {_WORDS}, o AS (SELECT conv_id AS clip, turn * 100000 + k AS idx, lower(regexp_replace(word, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS core, ((conv_id * 7 + turn * 13 + k * 29) % 100) / 100.0::DOUBLE AS confidence FROM ww), f AS (SELECT *, row_number() OVER (PARTITION BY clip, core ORDER BY idx) AS n FROM o WHERE confidence < 0.5 AND length(core) >= 4 AND regexp_matches(core, '\\p{{L}}') AND core NOT IN (SELECT word FROM bw)), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY confidence, idx) AS rank FROM f WHERE n = 1) SELECT clip, core, confidence, rank FROM r WHERE rank <= 8")
+def harvest_candidates(spark, d):
+    """Every word of the turns against every word of the known texts."""
     w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
     unsure = w.select(F.col("conv_id").alias("clip"), (F.col("turn").cast("long") * 100_000 + F.col("k")).alias("idx"), "word", (((F.col("conv_id") * 7 + F.col("turn") * 13 + F.col("k") * 29) % 100) / 100.0).alias("confidence"))
     return stores.harvested(unsure, _benchmark_words(spark, d).select("word"), 0.5, 4, 8)
 
 
 @query()
-def fuzzy_store_whole_texts(spark, d):
-    """fuzzy_store_join over every word of the turns, the store and the dictionary; its SQL has one word of each."""
+def fuzzy_store_join(spark, d):
+    """Every word of the turns against every word of the store and the dictionary; tested by brute force, as SQL would compare all pairs."""
     w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
     b = _benchmark_words(spark, d)
     store = b.select("pos", F.col("word").alias("wrong"), F.concat(F.lit("r"), F.col("pos").cast("string")).alias("right"))
     return words.fuzzy(w.select(((F.col("conv_id") * 1000 + F.col("turn")) * 100_000 + F.col("k")).alias("id"), F.lower("word").alias("token")), store, b.select("word"))
 
 
-@query()
-def text_cores_whole_texts(spark, d):
-    """The cores of text_cores for every word; its SQL has the first one."""
+@query(f"WITH {_WORDS} SELECT turn, conv_id, k, regexp_replace(word, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS core, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters FROM ww")
+def text_cores(spark, d):
     w = _every_word(table(spark, d, "conversations"), "conv_id", "turn")
-    return w.select("turn", "conv_id", "k", T.core(F.col("word")).alias("core"))
+    return w.select("turn", "conv_id", F.col("k").cast("long").alias("k"), T.core(F.col("word")).alias("core"), T.alnum_lower(F.col("word")).alias("letters"))
 
 
 @query()
@@ -483,3 +461,7 @@ def envelope_offsets(spark, d):
 
 
 FLAGSHIP = detect_moments
+
+
+# further queries register themselves
+from tidemark import queries_more  # noqa: E402, F401
