@@ -147,6 +147,7 @@ def test_a_group_without_cuts_keeps_its_timeline(spark):
 
 
 def test_empty_tables(spark):
-    none = spark.createDataFrame([], "by long, id long, t double, at double, bin long, speaker string, confidence double")
-    assert T.nearest(none, none, "by", 1.0).count() == T.value_at(none, none, "by", 1.0).count() == 0
-    assert T.boundaries(none, none.withColumn("duration", F.col("t")), "by", 1.0).count() == 0
+    points, at = spark.createDataFrame([], "by long, id long, t double"), spark.createDataFrame([], "by long, at double")
+    bins = spark.createDataFrame([], "by long, bin long, speaker string, confidence double")
+    assert T.nearest(points, at, "by", 1.0).count() == T.value_at(points, bins, "by", 1.0).count() == 0
+    assert T.boundaries(points, spark.createDataFrame([], "by long, duration double"), "by", 1.0).count() == 0

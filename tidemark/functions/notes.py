@@ -81,3 +81,52 @@ def parse_judgment(raw: Column, most: int = 10) -> Column:
     score = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.coalesce(number, labelled, pick(low), F.lit(0.0))))
     text = lambda k: F.when(number.isNotNull(), F.trim(F.coalesce(field(k), F.lit(""))))
     return F.struct(score.alias("score"), F.coalesce(text("reason"), F.trim(raw)).alias("reason"), F.coalesce(F.translate(text("title"), "–—", "--"), F.lit("")).alias("title"))
+
+
+def probed(out: Column, key: str) -> Column:
+    """The first value of a key in a probe's `key=value` lines, trimmed; null if it isn't there."""
+    v = F.trim(F.regexp_extract(out, rf"(?m)^{key}=(.*)$", 1))
+    return F.when(v != "", v)
+
+
+def frame_rate(value: Column) -> Column:
+    """A rate that is written as a fraction or a number; 0 if it isn't a positive one."""
+    p = F.split(value, "/")
+    n, d = (F.get(p, F.lit(i)).try_cast("double") for i in (0, 1))
+    v = F.when(F.size(p) == 2, F.when(d > 0, n / d)).otherwise(value.try_cast("double"))
+    return F.coalesce(F.when((v > 0) & (v < float("inf")), v), F.lit(0.0))
+
+
+def video_probe(out: Column) -> Column:
+    """(width, height, duration_s, start_time_s, fps) of a probe; null without a width or height, 0 for other values that can't be read."""
+    number = lambda k: F.coalesce(probed(out, k).try_cast("double"), F.lit(0.0))
+    w, h = probed(out, "width").try_cast("long"), probed(out, "height").try_cast("long")
+    return F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("width"), h.alias("height"), number("duration").alias("duration_s"), number("start_time").alias("start_time_s"), frame_rate(probed(out, "r_frame_rate")).alias("fps")))
+
+
+def audio_probe(out: Column) -> Column:
+    """(duration_s, sample_rate, channels) of a probe; null unless all are positive."""
+    d, r, c = probed(out, "duration").try_cast("double"), probed(out, "sample_rate").try_cast("long"), probed(out, "channels").try_cast("long")
+    return F.when((d > 0) & (d < float("inf")) & (r > 0) & (c > 0), F.struct(d.alias("duration_s"), r.alias("sample_rate"), c.alias("channels")))
+
+
+def minutes(text: Column) -> Column:
+    """m:ss.cc, or seconds alone, as seconds; null for anything else."""
+    t = F.trim(text)
+    at = F.instr(t, ":")
+    whole = F.trim(F.substring(t, F.lit(1), at - 1)).try_cast("double") * 60 + F.trim(F.substring(t, at + 1, F.length(t))).try_cast("double")
+    return F.when(at > 0, whole).otherwise(t.try_cast("double"))
+
+
+# Seconds that a segment is padded by, and that it has to reach past a clip.
+PAD, MARGIN = 2.0, 0.5
+
+
+def padded(start: Column, end: Column, duration: Column) -> Column:
+    """A range with PAD on both sides, inside [0, duration]; a null duration is no bound."""
+    return F.struct(F.greatest(F.lit(0.0), start - PAD).alias("start_s"), F.least(end + PAD, F.coalesce(duration, F.lit(float("inf")))).alias("end_s"))
+
+
+def tail_shortfall(anchor: Column, media: Column, end: Column) -> Column:
+    """Seconds missing past a clip's end; 0 where the media's length isn't known."""
+    return F.when(media > 0, F.greatest(F.lit(0.0), end + MARGIN - (anchor + media))).otherwise(0.0)

@@ -156,3 +156,63 @@ def flash_respread(words: DataFrame, by: str, long: str) -> DataFrame:
 
     own = words.select(by, F.col("idx").cast("long").alias("idx"), F.col("text").cast("string").alias("text"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), long)
     return own.groupBy(by).applyInPandas(run, own.drop(long).schema)
+
+
+def stable_runs(subjects: DataFrame, by: str, least: int) -> DataFrame:
+    """Subjects (by, bin, subject) as runs (by, first, bins, subject): one of fewer than `least` bins goes to the run before, a short first one to the next.
+
+    Runs are folded in order within a clip; their number, not that of bins, is what is held."""
+    order = f"PARTITION BY {by} ORDER BY bin"
+    new = subjects.withColumn("_new", F.expr(f"coalesce(subject <> lag(subject) OVER ({order}), true)")).withColumn("_run", F.expr(f"sum(int(_new)) OVER ({order} ROWS UNBOUNDED PRECEDING)"))
+    runs = new.groupBy(by, "_run", "subject").agg(F.min("bin").alias("first"), F.count("*").alias("bins"))
+    kind = "struct<subject: string, first: bigint, bins: bigint>"
+    grow = lambda a, n: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["subject"].alias("subject"), F.element_at(a, -1)["first"].alias("first"), (F.element_at(a, -1)["bins"] + n).alias("bins"))))
+    fold = lambda a, r: F.when((F.size(a) > 0) & ((F.element_at(a, -1)["subject"] == r["subject"]) | (r["bins"] < least)), grow(a, r["bins"])).otherwise(F.concat(a, F.array(F.struct(r["subject"].alias("subject"), r["first"].alias("first"), r["bins"].alias("bins")))))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("first", "subject", "bins"))), lambda r: F.struct(r["subject"].cast("string").alias("subject"), r["first"].cast("long").alias("first"), r["bins"].alias("bins")))
+    out = runs.groupBy(by).agg(F.aggregate(rows, F.expr(f"cast(array() AS array<{kind}>)"), fold).alias("r"))
+    lead = (F.size("r") > 1) & (F.col("r")[0]["bins"] < least)
+    joined = F.concat(F.array(F.struct(F.col("r")[1]["subject"].alias("subject"), F.col("r")[0]["first"].alias("first"), (F.col("r")[0]["bins"] + F.col("r")[1]["bins"]).alias("bins"))), F.expr("slice(r, 3, size(r))"))
+    return out.select(by, F.explode(F.when(lead, joined).otherwise(F.col("r"))).alias("x")).select(by, "x.first", "x.bins", "x.subject")
+
+
+def character_chunks(tokens: DataFrame, by: str, chars: int = 4) -> DataFrame:
+    """Tokens (by, idx, raw, t0, t1, p) as chunks of at most `chars` characters; none is split, and a final mark closes its chunk."""
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        out, shut = [], True
+        for raw, t0, t1, conf in p.sort_values("idx")[["raw", "t0", "t1", "p"]].itertuples(index=False):
+            clean = raw.strip()
+            if not clean:
+                continue
+            if shut or len(out[-1][0]) + len(clean) > chars:
+                out.append([clean, t0, t1, conf])
+            else:
+                out[-1] = [out[-1][0] + clean, out[-1][1], t1, min(out[-1][3], conf)]
+            shut = len(out[-1][0]) >= chars or clean[-1] in "。！？．…!?"
+        return pd.DataFrame([(p[by].iloc[0], k, *x) for k, x in enumerate(out)], columns=[by, "chunk", "text", "start_s", "end_s", "confidence"])
+
+    return tokens.groupBy(by).applyInPandas(run, f"{by} {dict(tokens.dtypes)[by]}, chunk long, text string, start_s double, end_s double, confidence double")
+
+
+def tracked(boxes: DataFrame, by: str, near: float) -> DataFrame:
+    """Boxes (by, frame, det, x, y, w, h) with the track each belongs to: the nearest one by its last centre, within `near`, that has no box of this frame yet; else a new one.
+
+    Frames follow one another within a clip; a clip is one group."""
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["frame", "det"])
+        cx, cy = (p["x"] + p["w"] / 2).to_numpy(), (p["y"] + p["h"] / 2).to_numpy()
+        last: list[tuple[float, float]] = []
+        seen: list[int] = []
+        out = []
+        for f, a, b in zip(p["frame"], cx, cy, strict=True):
+            free = [((a - u) ** 2 + (b - v) ** 2, k) for k, (u, v) in enumerate(last) if seen[k] != f]
+            d, k = min(free, default=(float("inf"), -1))
+            if d > near * near:
+                k = len(last)
+                last.append((a, b))
+                seen.append(f)
+            last[k], seen[k] = (a, b), f
+            out.append(k)
+        return p[[by, "frame", "det"]].assign(track=out)
+
+    kinds = dict(boxes.dtypes)
+    return boxes.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, frame {kinds['frame']}, det {kinds['det']}, track long")

@@ -16,7 +16,7 @@ def boundaries(cuts: DataFrame, clips: DataFrame, by: str, merge: float | None =
     """(by, t) for clips (by, duration): 0, the cuts (by, t) more than 0.03 s inside, and the end, of every clip.
 
     With `merge`, a boundary nearer than that to the one kept before it goes."""
-    inner = cuts.join(clips, by).where("t > 0.03 AND t < duration - 0.03").select(by, "t")
+    inner = cuts.select(by, "t").join(clips.select(by, "duration"), by).where("t > 0.03 AND t < duration - 0.03").select(by, "t")
     ends = clips.select(by, F.explode(F.array(F.lit(0.0), "duration")).alias("t"))
     every = ends.unionByName(inner)
     if merge is None:

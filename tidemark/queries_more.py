@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames as C
 from tidemark.functions import notes as N
-from tidemark.operators import intervals
+from tidemark.operators import captions, intervals, sentences, sequences
 from tidemark.operators import series as S
 from tidemark.operators import timeline as T
-from tidemark.queries import _EV, _GRID, _WORDS, BINS, _every_word, _round, hourly, query, table, timed
+from tidemark.queries import _EV, _GRID, _WORDS, BINS, _every_word, _round, hourly, query, table, timed, turns
+from tidemark.sources import stores as sources
 
 TOTAL = 2592000.0
 
@@ -335,3 +336,108 @@ def span_removal(spark, d):
     s = _shots(spark, d)
     gone = s.where("user_id % 2 = 0").groupBy("user_id").agg((F.min("start_s") + 3).alias("lo"), (F.min("start_s") + 90000).alias("hi"))
     return _round(intervals.without(s.select("user_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s")), gone, "user_id"), "from_s", "to_s", places=3)
+
+
+_CU = "cu AS (SELECT series_id, event_id AS idx, t / 3600 AS start_s FROM ev WHERE user_id % 3 = 0 AND t >= 0 AND t < 2592000), un AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY start_s, idx) AS idx, start_s FROM cu)"
+
+
+def _caption_units(spark, d):
+    e = timed(spark, d).where("user_id % 3 = 0 AND t >= 0 AND t < 2592000").select("series_id", "event_id", (F.col("t") / 3600).alias("start_s"))
+    return e.select("series_id", F.expr("row_number() OVER (PARTITION BY series_id ORDER BY start_s, event_id)").cast("long").alias("idx"), "start_s")
+
+
+@query(f"""WITH {_GRID}, {_CU}, ev2 AS (SELECT series_id, bin AS k, v FROM s), lo AS (SELECT series_id, count(*) AS n, least(0.1::DOUBLE * list_sort(list(v))[least(floor(count(*) * 0.95::DOUBLE)::BIGINT, count(*) - 1) + 1], 1.0::DOUBLE) AS bar FROM ev2 GROUP BY 1),
+o AS (SELECT un.*, n, bar, greatest(start_s, coalesce(lead(start_s) OVER (PARTITION BY un.series_id ORDER BY idx), n)) AS nx, least(round(start_s)::BIGINT, n - 1) AS k0 FROM un JOIN lo USING (series_id)),
+q AS (SELECT *, least(greatest(least(round(start_s + 6)::BIGINT, n - 1), k0 + 1), n) AS k1, least(round(least(start_s + 2, nx))::BIGINT, n - 1) AS k2 FROM o),
+pk AS (SELECT q.series_id, q.idx, max(v) AS peak FROM q JOIN ev2 ON ev2.series_id = q.series_id AND k >= k0 AND k < k1 GROUP BY 1, 2),
+rs AS (SELECT q.series_id, q.idx, min(k) AS rise FROM q JOIN pk USING (series_id, idx) JOIN ev2 ON ev2.series_id = q.series_id AND k >= k0 AND k < k2 WHERE v >= 0.3::DOUBLE * peak GROUP BY 1, 2),
+f AS (SELECT q.series_id, q.idx, nx, least(greatest(coalesce(rise, greatest(k0, k2)), start_s), nx) AS a FROM q JOIN pk USING (series_id, idx) LEFT JOIN rs USING (series_id, idx) WHERE peak >= bar)
+SELECT series_id, idx, round(a, 6) AS start_s, round(least(greatest(least(a + 12, nx), a + 4), nx), 6) AS end_s FROM f""")
+def caption_timing(spark, d):
+    """Hours stand for the frames of the envelope; times are stretched tenfold."""
+    env = hourly(spark, d).select("series_id", F.col("bin").alias("k"), "v")
+    return _round(captions.refined(_caption_units(spark, d), env, "series_id", 1.0, 10.0, 1.0), "start_s", "end_s")
+
+
+@query(f"WITH {_EV}, {_CU}, u AS (SELECT series_id, idx, start_s, start_s + 2 AS end_s FROM un), r AS (SELECT series_id, t / 3600 AS a, t / 3600 + 0.25::DOUBLE AS b FROM ev WHERE user_id % 7 = 0), j AS (SELECT u.series_id, u.idx, start_s, end_s, coalesce(bool_or(a <= start_s AND start_s < b), false) AS inside, min(CASE WHEN a > start_s AND a < end_s THEN a END) AS cut FROM u LEFT JOIN r USING (series_id) GROUP BY ALL) SELECT series_id, idx, round(start_s, 6) AS start_s, round(CASE WHEN NOT inside AND cut IS NOT NULL THEN least(greatest(start_s + 0.4::DOUBLE, cut), end_s) ELSE end_s END, 6) AS end_s FROM j")
+def laugh_trims(spark, d):
+    runs = timed(spark, d).where("user_id % 7 = 0").select("series_id", (F.col("t") / 3600).alias("from_s"), (F.col("t") / 3600 + 0.25).alias("to_s"))
+    return _round(captions.laugh_trimmed(_caption_units(spark, d).withColumn("end_s", F.col("start_s") + 2), runs, "series_id"), "start_s", "end_s")
+
+
+@query(f"WITH {_EV}, {_CU}, g AS (SELECT *, CASE idx % 3 WHEN 0 THEN 'huge_word' WHEN 1 THEN 'rolling_pop' ELSE 'karaoke_fill' END AS genre FROM un) SELECT series_id, idx, CASE genre WHEN 'rolling_pop' THEN CASE WHEN start_s <= 300 THEN 'base' ELSE 'hidden' END WHEN 'karaoke_fill' THEN CASE WHEN start_s <= 300 THEN 'sung' ELSE 'base' END ELSE 'base' END AS state FROM g")
+def word_states(spark, d):
+    genre = F.when(F.col("idx") % 3 == 0, "huge_word").when(F.col("idx") % 3 == 1, "rolling_pop").otherwise("karaoke_fill")
+    return _caption_units(spark, d).select("series_id", "idx", captions.word_state(genre, F.col("start_s"), F.lit(300.0)).alias("state"))
+
+
+@query(f"WITH {_B}, p AS (SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, CASE WHEN l_linenumber <> 1 THEN x / 300 - 0.1::DOUBLE ELSE 0.5 END)) * 1080)::BIGINT AS px, round(greatest(0, least(1, CASE WHEN l_linenumber <> 1 THEN l_discount * 11 ELSE 0.46::DOUBLE END)) * 1920)::BIGINT AS py, greatest(round(64 * greatest(0.3::DOUBLE, least(3, n * 0.55::DOUBLE)))::BIGINT, 1) AS pt FROM b) SELECT l_orderkey, l_linenumber, px AS x, py AS y, pt AS size, greatest(greatest(py - round(pt * 1.9::DOUBLE)::BIGINT, 0), round(pt * 0.8::DOUBLE)::BIGINT) AS manual_y FROM p")
+def caption_places(spark, d):
+    b = _boxes(spark, d)
+    x, y = (F.when(F.col("l_linenumber") != 1, v) for v in (b.c.x / 300 - 0.1, b.l_discount * 11))
+    a, m = (captions.placed(x, y, b.l_linenumber * 0.55, 64, manual) for manual in (False, True))
+    return b.select("l_orderkey", "l_linenumber", a.alias("a"), m.alias("m")).select("l_orderkey", "l_linenumber", "a.x", "a.y", "a.size", F.col("m.y").alias("manual_y"))
+
+
+@query(f"WITH {_EV}, {_CU}, u AS (SELECT series_id, idx, start_s, start_s + 0.5::DOUBLE AS end_s FROM un), m AS (SELECT series_id, min(start_s) AS from_s, min(start_s) + 100 AS to_s FROM un GROUP BY 1) SELECT u.series_id, idx, round(start_s, 6) AS start_s FROM u JOIN m USING (series_id) WHERE start_s >= from_s - 0.05::DOUBLE AND end_s <= to_s + 0.05::DOUBLE")
+def clip_words(spark, d):
+    u = _caption_units(spark, d).withColumn("end_s", F.col("start_s") + 0.5)
+    m = u.groupBy("series_id").agg(F.min("start_s").alias("from_s"), (F.min("start_s") + 100).alias("to_s")).withColumn("id", F.lit(1))
+    return _round(sentences.within(u, m, "series_id").select("series_id", "idx", "start_s"), "start_s")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 2 END AS width, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS height, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_retailprice END END AS duration_s, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE round(24000 / 1001.0::DOUBLE, 6) END END AS fps, CASE WHEN p_partkey % 3 <> 0 AND p_size % 3 <> 0 THEN p_size % 3 END::BIGINT AS channels FROM part")
+def media_probes(spark, d):
+    """Probe outputs are written and read: what comes out is what went in."""
+    p = table(spark, d, "part")
+    line = lambda k, v: F.concat(F.lit(f"{k}="), v, F.lit("\n"))
+    length = F.when(p.p_partkey % 3 == 0, "N/A").otherwise(p.p_retailprice.cast("string"))
+    video = F.concat(F.when(p.p_partkey % 5 != 0, line("width", (p.p_size * 2).cast("string"))).otherwise(""), line("height", p.p_size.cast("string")), line("duration", length), line("r_frame_rate", F.when(p.p_partkey % 4 == 0, "0/0").otherwise("24000/1001")))
+    audio = F.concat(line("sample_rate", F.lit("44100")), line("channels", (p.p_size % 3).cast("string")), line("duration", length))
+    o = p.select("p_partkey", N.video_probe(video).alias("v"), N.audio_probe(audio).alias("a"))
+    return o.select("p_partkey", F.col("v.width").cast("int").alias("width"), F.col("v.height").cast("int").alias("height"), "v.duration_s", F.round("v.fps", 6).alias("fps"), "a.channels")
+
+
+@query("SELECT o_orderkey, round(greatest(0, o_totalprice / 100 - 2), 4) AS start_s, round(least(o_totalprice / 100 + 12, CASE WHEN o_orderkey % 3 <> 0 THEN 1500 ELSE 1e300 END), 4) AS end_s, round(CASE WHEN o_orderkey % 4 <> 0 THEN greatest(0, (o_totalprice / 100 + 10) + 0.5::DOUBLE - (o_totalprice / 100 / 2 + 600)) ELSE 0 END, 4) AS missing, (o_orderkey % 90) * 60 + (o_custkey % 60) + 0.25::DOUBLE AS clock FROM orders")
+def clip_padding(spark, d):
+    o = table(spark, d, "orders")
+    t = o.o_totalprice / 100
+    text = F.concat((o.o_orderkey % 90).cast("string"), F.lit(":"), (o.o_custkey % 60).cast("string"), F.lit(".25"))
+    p = o.select("o_orderkey", N.padded(t, t + 10, F.when(o.o_orderkey % 3 != 0, F.lit(1500.0))).alias("p"), N.tail_shortfall(t / 2, F.when(o.o_orderkey % 4 != 0, F.lit(600.0)).otherwise(0.0), t + 10).alias("missing"), N.minutes(text).alias("clock"))
+    return _round(p.select("o_orderkey", "p.start_s", "p.end_s", "missing", "clock"), "start_s", "end_s", "missing", places=4)
+
+
+@query("WITH i AS (SELECT p_size AS stream, p_partkey AS idx, p_partkey * 10 AS byte_len, p_retailprice / 1000 AS dur FROM part), t AS (SELECT *, sum(dur) OVER w - dur AS t0, sum(dur) OVER w AS t1, sum(byte_len) OVER w - byte_len AS b0, idx = max(idx) OVER (PARTITION BY stream) AS last, sum(dur) OVER (PARTITION BY stream) AS total FROM i WINDOW w AS (PARTITION BY stream ORDER BY idx ROWS UNBOUNDED PRECEDING)) SELECT stream, min(idx) AS first_idx, max(idx) AS last_idx, min(b0)::BIGINT AS byte_from, max(b0 + byte_len)::BIGINT AS byte_to, round(min(t0), 6) AS t0_s, round(max(t1), 6) AS t1_s FROM t WHERE total >= 2.5 AND (t1 > 2.5 OR last) AND (t0 < 4 OR t0 <= 2.5) GROUP BY 1")
+def byte_windows(spark, d):
+    i = table(spark, d, "part").select(F.col("p_size").alias("stream"), F.col("p_partkey").alias("idx"), (F.col("p_partkey") * 10).alias("byte_len"), (F.col("p_retailprice") / 1000).alias("dur"))
+    return _round(sources.byte_windows(i, 2.5, 4.0), "t0_s", "t1_s")
+
+
+@query()
+def stable_subjects(spark, d):
+    """The busiest kind of event of a user's hours, in runs; folded in order, tested by a loop."""
+    n = timed(spark, d).groupBy("user_id", F.expr("us div 3600000000").alias("hour")).agg(F.max("series_id").alias("subject"))
+    return sequences.stable_runs(n.select("user_id", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY hour)").cast("long").alias("bin"), "subject"), "user_id", 3)
+
+
+@query()
+def token_chunks(spark, d):
+    """Words of a conversation as chunks of characters; greedy, tested by cases."""
+    w = _timed_words(spark, d)
+    return sequences.character_chunks(w.select("conv_id", "idx", F.col("word").alias("raw"), F.col("start_s").alias("t0"), (F.col("start_s") + 0.125).alias("t1"), F.lit(0.5).alias("p")), "conv_id", 8)
+
+
+@query()
+def box_tracks(spark, d):
+    """Lines of an order as boxes of two frames; a greedy match, tested by a loop."""
+    b = _boxes(spark, d)
+    b = b.select("l_orderkey", (F.col("l_linenumber") % 2).alias("frame"), F.col("l_linenumber").alias("det"), *(F.col(f"c.{k}").alias(k) for k in "xywh"))
+    return sequences.tracked(b, "l_orderkey", 120.0)
+
+
+@query()
+def sentence_bounds(spark, d):
+    """Seeds of ten seconds in each conversation, on sentence bounds; sequential, tested by cases."""
+    u = turns(spark, d)
+    seeds = u.where("idx % 4 = 1").select("conv_id", F.col("idx").alias("id"), (F.col("start_s") + 1).alias("start_s"), (F.col("start_s") + 11).alias("end_s"))
+    return sentences.moment_bounds(seeds, u, "conv_id", 12.0, 30.0)

@@ -31,8 +31,16 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return w.where("word <> '' AND NOT startswith(word, '#')").distinct()
 
 
-def byte_windows(index: DataFrame, start: float, end: float) -> DataFrame:
-    """From (idx, byte_len, dur) in seconds: first and last segment, and byte range, that cover [start, end)."""
-    t = index.withColumn("t0", F.expr("coalesce(sum(dur) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)")).withColumn("b0", F.expr("coalesce(sum(byte_len) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
-    hit = t.where((F.col("t0") + F.col("dur") > start) & (F.col("t0") < end))
-    return hit.agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min("b0").alias("byte_from"), F.max(F.col("b0") + F.col("byte_len")).alias("byte_to"))
+def byte_windows(index: DataFrame, start: float, end: float, by: str = "stream") -> DataFrame:
+    """From an index (by, idx, byte_len, dur) in seconds: first and last segment, byte range and times of each stream that cover [start, end].
+
+    A start at the very end takes the last segment; a stream that ends before
+    the start has no row."""
+    order = f"PARTITION BY {by} ORDER BY idx"
+    before = lambda c, zero: F.expr(f"coalesce(sum({c}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {zero})")
+    t = index.withColumn("t0", before("dur", "0.0D")).withColumn("b0", before("byte_len", "0")).withColumn("t1", F.col("t0") + F.col("dur")).withColumn("_total", F.expr(f"sum(dur) OVER (PARTITION BY {by})"))
+    last = F.expr(f"idx = max(idx) OVER (PARTITION BY {by})")
+    t = t.withColumn("_last", last).where(F.col("_total") >= start)
+    # from the first segment that ends after the start to the first one that reaches the end
+    hit = t.where(((F.col("t1") > start) | F.col("_last")) & ((F.col("t0") < end) | (F.col("t0") <= start) | F.col("_last") & (F.col("t1") <= start)))
+    return hit.groupBy(by).agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min("b0").alias("byte_from"), F.max(F.col("b0") + F.col("byte_len")).alias("byte_to"), F.min("t0").alias("t0_s"), F.max("t1").alias("t1_s"))
