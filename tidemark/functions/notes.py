@@ -130,3 +130,29 @@ def padded(start: Column, end: Column, duration: Column) -> Column:
 def tail_shortfall(anchor: Column, media: Column, end: Column) -> Column:
     """Seconds missing past a clip's end; 0 where the media's length isn't known."""
     return F.when(media > 0, F.greatest(F.lit(0.0), end + MARGIN - (anchor + media))).otherwise(0.0)
+
+
+def class_label(line: Column) -> Column:
+    """(index, name) of a line `index,mid,"name"` of a label file, in which names may hold commas; null for other lines."""
+    index = F.trim(F.regexp_extract(line, r"^([^,]*),[^,]*,", 1)).try_cast("long")
+    name = F.regexp_replace(F.trim(F.regexp_extract(line, r"^[^,]*,[^,]*,(.*?)\r?$", 1)), r'^"+|"+$', "")
+    return F.when(index >= 0, F.struct(index.alias("index"), name.alias("name")))
+
+
+def decision(line: Column) -> Column:
+    """(at, word) of a line `n: word`: n counts from 1, at from 0; `DELETE` is a null word; null for lines that decide nothing."""
+    t = F.trim(line)
+    n = F.regexp_extract(t, r"^([0-9]+)", 1).try_cast("long")
+    token = F.regexp_extract(t, r"^[0-9]+[:.)\-\s]*(\S+)", 1)
+    word = F.when(F.lower(token) != "delete", T.core(token))
+    return F.when((n > 0) & (token != "") & (word.isNull() | (word != "")), F.struct((n - 1).alias("at"), word.alias("word")))
+
+
+def clock_stem(seconds: Column) -> Column:
+    """A clock for file names: m-ss, or h-mm-ss from an hour on."""
+    return F.replace(T.clock(seconds), F.lit(":"), F.lit("-"))
+
+
+def clip_id(start: Column) -> Column:
+    """A clip's number: its start in whole milliseconds."""
+    return F.round(F.greatest(start, F.lit(0.0)) * 1000).cast("long")

@@ -128,3 +128,48 @@ def attributed(activity: pd.DataFrame, hold: int, ratio: float = 1.35, floor: fl
             rival, run = None, 0
         rows.append((b, current, acts.get(current, 0.0) / total if total else 0.0))
     return pd.DataFrame(rows, columns=["bin", "speaker", "confidence"])
+
+
+def with_clip_todos(store: DataFrame, clips: DataFrame) -> DataFrame:
+    """A store (pos, wrong, right) and the open to-dos of clip stores (clip, pos, wrong, right) whose word it doesn't know: the first of each word; pos goes on after the store's."""
+    todo = clips.where("wrong <> '' AND right = ''").withColumn("_k", F.lower("wrong"))
+    new = todo.join(store.select(F.lower("wrong").alias("_k")).distinct(), "_k", "left_anti").groupBy("_k").agg(F.min(F.struct("clip", "pos", "wrong")).alias("x"))
+    return store.select("wrong", "right", F.lit(None).cast("long").alias("clip")).unionByName(new.select("x.wrong", F.lit("").alias("right"), F.col("x.clip").cast("long").alias("clip")))
+
+
+def promoted(store: DataFrame, clip: DataFrame) -> DataFrame:
+    """A store (wrong, right) after the confirmed corrections of a clip (pos, wrong, right, clip_only) are taken in: a blank right side is filled, a word that is filled stays, a new one is added; the clip's first entry of a word counts."""
+    given = clip.where("wrong <> '' AND right <> '' AND NOT clip_only").groupBy(F.lower("wrong").alias("_k")).agg(F.min(F.struct("pos", "wrong", "right")).alias("x"))
+    own = store.select("wrong", "right", F.lower("wrong").alias("_k"))
+    both = own.join(given, "_k", "full")
+    return both.select(F.coalesce("wrong", "x.wrong").alias("wrong"), F.when(F.coalesce("right", F.lit("")) != "", F.col("right")).otherwise(F.coalesce("x.right", F.lit(""))).alias("right"))
+
+
+def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows with those of `new` (same columns, one for each key) in place of rows with their key."""
+    return rows.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def languages(videos: DataFrame, creators: DataFrame, default: str = "id") -> DataFrame:
+    """Videos (id, creator, explicit) with their language: the one asked for, else the creator's (creator, language), else the default."""
+    return videos.join(creators.select("creator", "language"), "creator", "left").select("id", F.coalesce("explicit", "language", F.lit(default)).alias("language"))
+
+
+def dash_pairs(formats: DataFrame, by: str) -> DataFrame:
+    """Of the formats (by, protocol, url, vcodec, acodec, height, container, tbr) of a video: the best plain-HTTP H.264 track up to 1080 lines, the best AAC one, and whether a muxed playlist is there."""
+    plain = F.col("protocol").isin("http", "https") & F.col("url").isNotNull()
+    mp4 = F.col("container").isNull() | F.col("container").contains("mp4")
+    video = plain & F.col("vcodec").startswith("avc1") & (F.col("acodec") == "none") & (F.col("height") <= 1080) & mp4
+    audio = plain & F.col("acodec").startswith("mp4a") & (F.col("vcodec") == "none")
+    muxed = F.col("protocol").startswith("m3u8") & (F.col("vcodec") != "none") & (F.col("acodec") != "none") & (F.col("height") <= 1080)
+    rate = F.floor(F.coalesce("tbr", F.lit(0.0)))
+    best = formats.groupBy(by).agg(F.max(F.when(video, F.struct("height", rate.alias("r"), "url"))).alias("v"), F.max(F.when(audio, F.struct(rate.alias("r"), "url"))).alias("a"), F.coalesce(F.max(muxed.cast("int")), F.lit(0)).alias("m"))
+    whole = F.col("v").isNotNull() & F.col("a").isNotNull()
+    return best.select(by, F.when(whole, F.col("v.url")).alias("video"), F.when(whole, F.col("a.url")).alias("audio"), (F.col("m") == 1).alias("muxed"))
+
+
+def numbered_names(clips: DataFrame, by: str) -> DataFrame:
+    """Clips (by, id, stem) with names that don't collide in a folder: the first of a stem as it is, others with (2), (3) in the order of id."""
+    n = F.expr(f"row_number() OVER (PARTITION BY {by}, stem ORDER BY id)")
+    return clips.withColumn("_n", n).select(by, "id", F.when(F.col("_n") == 1, F.col("stem")).otherwise(F.format_string("%s (%d)", "stem", "_n")).alias("name"))
+

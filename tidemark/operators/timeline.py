@@ -21,9 +21,14 @@ def boundaries(cuts: DataFrame, clips: DataFrame, by: str, merge: float | None =
     every = ends.unionByName(inner)
     if merge is None:
         return every
+    return thinned(every, by, merge)
+
+
+def thinned(times: DataFrame, by: str, merge: float) -> DataFrame:
+    """Times (by, t) without those nearer than `merge` to the one kept before."""
     # each is held against the last one kept, not against its neighbour
     kept = F.aggregate(F.array_sort(F.collect_list("t")), F.expr("cast(array() AS array<double>)"), lambda a, t: F.when((F.size(a) > 0) & (t - F.element_at(a, -1) < merge), a).otherwise(F.concat(a, F.array(t))))
-    return every.groupBy(by).agg(kept.alias("kept")).select(by, F.explode("kept").alias("t"))
+    return times.groupBy(by).agg(kept.alias("kept")).select(by, F.explode("kept").alias("t"))
 
 
 def segments(bounds: DataFrame, by: str) -> DataFrame:
@@ -162,3 +167,42 @@ def anchors(parts: list[DataFrame], by: str) -> DataFrame:
         own = p.select(by, "at", "word", F.lit(k).alias("decode"))
         out = own if out is None else out.unionByName(own)
     return out.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY at, decode, word)").cast("long"))
+
+
+def scene_scores(lines: DataFrame, by: str) -> DataFrame:
+    """(by, t, score) of a log (by, n, line): a time line and the next score line; a score without a time of its own, and a time without a score, go."""
+    number = lambda mark: F.nullif(F.regexp_extract("line", rf"{mark}\s*(\S+)", 1), F.lit("")).try_cast("double")
+    own = lines.withColumn("_t", number("pts_time:")).withColumn("_s", number("lavfi.scene_score=")).where("_t IS NOT NULL OR _s IS NOT NULL")
+    order = f"PARTITION BY {by} ORDER BY n"
+    # a line with a time counts as a time line only
+    return own.withColumn("_before", F.expr(f"lag(_t) OVER ({order})")).where("_t IS NULL AND _before IS NOT NULL").select(by, F.col("_before").alias("t"), F.col("_s").alias("score"))
+
+
+def segment_subjects(seen: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """Segments (by, seg, b0, b1) with their subject: `group` if two tracks or more are seen (by, track, bin) in most bins, else the track seen most (the last on a tie); null if none is."""
+    each = parts.withColumn("bin", F.explode(F.when(F.col("b1") > F.col("b0"), F.sequence("b0", F.col("b1") - 1)))).join(seen.select(by, "track", "bin").distinct(), [by, "bin"])
+    crowd = each.groupBy(by, "seg", "b0", "b1", "bin").agg(F.count("*").alias("n")).groupBy(by, "seg", "b0", "b1").agg(F.sum((F.col("n") >= 2).cast("int")).alias("crowd"))
+    top = each.groupBy(by, "seg", "track").agg(F.count("*").alias("n")).groupBy(by, "seg").agg(F.max(F.struct("n", "track")).alias("x"))
+    both = parts.select(by, "seg").join(crowd, [by, "seg"], "left").join(top, [by, "seg"], "left")
+    return both.select(by, "seg", F.when(F.col("crowd") * 2 > F.col("b1") - F.col("b0"), "group").otherwise(F.col("x.track").cast("string")).alias("subject"))
+
+
+def capped_tracks(tracks: DataFrame, by: str, most: int) -> DataFrame:
+    """Tracks (by, track, presence, cx): the `most` most present ones (the smaller track on a tie), numbered from left to right."""
+    rank = F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY presence DESC, track)")
+    kept = tracks.withColumn("_k", rank).where(F.col("_k") <= most)
+    return kept.withColumn("id", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY cx, presence DESC, track) - 1").cast("long")).drop("_k")
+
+
+def log_softmax(emission: DataFrame, by: list[str]) -> DataFrame:
+    """Logits (by, token, v) as log-probabilities of each frame."""
+    top = emission.groupBy(*by).agg(F.max("v").alias("_m"))
+    shifted = emission.join(top, by)
+    total = shifted.groupBy(*by).agg((F.first("_m") + F.log(F.sum(F.exp(F.col("v") - F.col("_m"))))).alias("_l"))
+    return emission.join(total, by).select(*by, "token", (F.col("v") - F.col("_l")).alias("v"))
+
+
+def resampled(dst: DataFrame, src: DataFrame, by: str, src_w: int, src_h: int, dst_w: int, dst_h: int) -> DataFrame:
+    """Cells (by, x, y) of a smaller frame with the value of the pixel (by, x, y, v) they fall on, by whole numbers."""
+    at = dst.select(by, "x", "y", F.least(F.expr(f"x * {src_w} div {dst_w}"), F.lit(src_w - 1)).alias("_x"), F.least(F.expr(f"y * {src_h} div {dst_h}"), F.lit(src_h - 1)).alias("_y"))
+    return at.join(src.select(by, F.col("x").alias("_x"), F.col("y").alias("_y"), "v"), [by, "_x", "_y"]).select(by, "x", "y", "v")

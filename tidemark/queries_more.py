@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames as C
 from tidemark.functions import notes as N
-from tidemark.operators import captions, intervals, sentences, sequences
+from tidemark.operators import captions, intervals, sentences, sequences, stores
 from tidemark.operators import series as S
 from tidemark.operators import timeline as T
 from tidemark.queries import _EV, _GRID, _WORDS, BINS, _every_word, _round, hourly, query, table, timed, turns
@@ -398,13 +398,13 @@ def media_probes(spark, d):
     return o.select("p_partkey", F.col("v.width").cast("int").alias("width"), F.col("v.height").cast("int").alias("height"), "v.duration_s", F.round("v.fps", 6).alias("fps"), "a.channels")
 
 
-@query("SELECT o_orderkey, round(greatest(0, o_totalprice / 100 - 2), 4) AS start_s, round(least(o_totalprice / 100 + 12, CASE WHEN o_orderkey % 3 <> 0 THEN 1500 ELSE 1e300 END), 4) AS end_s, round(CASE WHEN o_orderkey % 4 <> 0 THEN greatest(0, (o_totalprice / 100 + 10) + 0.5::DOUBLE - (o_totalprice / 100 / 2 + 600)) ELSE 0 END, 4) AS missing, (o_orderkey % 90) * 60 + (o_custkey % 60) + 0.25::DOUBLE AS clock FROM orders")
+@query("SELECT o_orderkey, round(greatest(0, o_totalprice / 100 - 2), 6) AS start_s, round(least(o_totalprice / 100 + 12, CASE WHEN o_orderkey % 3 <> 0 THEN 1500 ELSE 1e300 END), 6) AS end_s, round(CASE WHEN o_orderkey % 4 <> 0 THEN greatest(0, (o_totalprice / 100 + 10) + 0.5::DOUBLE - (o_totalprice / 100 / 2 + 600)) ELSE 0 END, 6) AS missing, (o_orderkey % 90) * 60 + (o_custkey % 60) + 0.25::DOUBLE AS clock FROM orders")
 def clip_padding(spark, d):
     o = table(spark, d, "orders")
     t = o.o_totalprice / 100
     text = F.concat((o.o_orderkey % 90).cast("string"), F.lit(":"), (o.o_custkey % 60).cast("string"), F.lit(".25"))
     p = o.select("o_orderkey", N.padded(t, t + 10, F.when(o.o_orderkey % 3 != 0, F.lit(1500.0))).alias("p"), N.tail_shortfall(t / 2, F.when(o.o_orderkey % 4 != 0, F.lit(600.0)).otherwise(0.0), t + 10).alias("missing"), N.minutes(text).alias("clock"))
-    return _round(p.select("o_orderkey", "p.start_s", "p.end_s", "missing", "clock"), "start_s", "end_s", "missing", places=4)
+    return _round(p.select("o_orderkey", "p.start_s", "p.end_s", "missing", "clock"), "start_s", "end_s", "missing")
 
 
 @query("WITH i AS (SELECT p_size AS stream, p_partkey AS idx, p_partkey * 10 AS byte_len, p_retailprice / 1000 AS dur FROM part), t AS (SELECT *, sum(dur) OVER w - dur AS t0, sum(dur) OVER w AS t1, sum(byte_len) OVER w - byte_len AS b0, idx = max(idx) OVER (PARTITION BY stream) AS last, sum(dur) OVER (PARTITION BY stream) AS total FROM i WINDOW w AS (PARTITION BY stream ORDER BY idx ROWS UNBOUNDED PRECEDING)) SELECT stream, min(idx) AS first_idx, max(idx) AS last_idx, min(b0)::BIGINT AS byte_from, max(b0 + byte_len)::BIGINT AS byte_to, round(min(t0), 6) AS t0_s, round(max(t1), 6) AS t1_s FROM t WHERE total >= 2.5 AND (t1 > 2.5 OR last) AND (t0 < 4 OR t0 <= 2.5) GROUP BY 1")
@@ -441,3 +441,118 @@ def sentence_bounds(spark, d):
     u = turns(spark, d)
     seeds = u.where("idx % 4 = 1").select("conv_id", F.col("idx").alias("id"), (F.col("start_s") + 1).alias("start_s"), (F.col("start_s") + 11).alias("end_s"))
     return sentences.moment_bounds(seeds, u, "conv_id", 12.0, 30.0)
+
+
+_LOG = "lg AS (SELECT user_id, 2 * row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, series_id, us / 1e6 AS t, (event_id % 100) / 100.0::DOUBLE AS score FROM ev WHERE us >= 0)"
+
+
+@query(f"WITH {_EV}, {_LOG} SELECT user_id, round(t, 3) AS t, score FROM lg WHERE series_id <> 'error' AND series_id <> 'view'")
+def scene_log(spark, d):
+    """A log with times, scores, and noise: an error has no score line, a view only a time that is no number."""
+    e = timed(spark, d).where("us >= 0").select("user_id", "series_id", "t", F.col("event_id"), F.expr("2 * row_number() OVER (PARTITION BY user_id ORDER BY us, event_id)").alias("n"))
+    time = F.when(F.col("series_id") == "view", "frame pts_time:N/A").otherwise(F.concat(F.lit("frame:1 pts_time:"), F.col("t").cast("string"), F.lit(" x")))
+    score = F.when(F.col("series_id") == "error", "nothing").otherwise(F.concat(F.lit("lavfi.scene_score="), ((F.col("event_id") % 100) / 100.0).cast("string")))
+    lines = e.where("series_id <> 'view'").select("user_id", F.col("n").alias("n"), time.alias("line")).unionByName(e.where("series_id <> 'view'").select("user_id", (F.col("n") + 1).alias("n"), score.alias("line"))).unionByName(e.where("series_id = 'view'").select("user_id", "n", F.lit("frame pts_time:N/A").alias("line")))
+    return _round(T.scene_scores(lines, "user_id"), "t", places=3)
+
+
+@query("SELECT p_partkey AS index, p_name || ', ' || p_type AS name FROM part")
+def class_labels(spark, d):
+    p = table(spark, d, "part")
+    line = F.concat(p.p_partkey.cast("string"), F.lit(",/m/0,\""), p.p_name, F.lit(", "), p.p_type, F.lit("\""))
+    return p.select(N.class_label(line).alias("c")).select("c.index", "c.name")
+
+
+@query("SELECT c_custkey, c_custkey % 50 AS at, CASE WHEN c_custkey % 3 <> 0 THEN 'w' || c_nationkey END AS word FROM customer WHERE c_custkey % 4 <> 0")
+def edit_decisions(spark, d):
+    c = table(spark, d, "customer")
+    n = (c.c_custkey % 50 + 1).cast("string")
+    line = F.when(c.c_custkey % 4 == 0, "none of these").when(c.c_custkey % 3 == 0, F.concat(n, F.lit(") delete"))).otherwise(F.concat(F.lit(" "), n, F.lit(": \"w"), c.c_nationkey.cast("string"), F.lit("\", said")))
+    return c.select("c_custkey", N.decision(line).alias("d")).where("d IS NOT NULL").select("c_custkey", "d.at", "d.word")
+
+
+@query(f"WITH {_EV}, seen AS (SELECT DISTINCT user_id, series_id AS track, us // 3600000000 AS bin FROM ev), e AS (SELECT user_id, bin // 24 AS seg, bin, track FROM seen WHERE bin >= 0 AND bin < 720), c AS (SELECT user_id, seg, sum((n >= 2)::INT) AS crowd FROM (SELECT user_id, seg, bin, count(*) AS n FROM e GROUP BY ALL) GROUP BY 1, 2), m AS (SELECT user_id, seg, track, row_number() OVER (PARTITION BY user_id, seg ORDER BY n DESC, track DESC) AS k FROM (SELECT user_id, seg, track, count(*) AS n FROM e GROUP BY ALL)) SELECT i.user_id, g.seg, CASE WHEN crowd * 2 > 24 THEN 'group' ELSE track END AS subject FROM (SELECT DISTINCT user_id FROM ev) i CROSS JOIN (SELECT unnest(range(0, 30)) AS seg) g LEFT JOIN c ON c.user_id = i.user_id AND c.seg = g.seg LEFT JOIN m ON m.user_id = i.user_id AND m.seg = g.seg AND k = 1")
+def segment_subjects(spark, d):
+    seen = timed(spark, d).select("user_id", F.col("series_id").alias("track"), F.expr("us div 3600000000").alias("bin"))
+    parts = seen.select("user_id").distinct().withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("user_id", F.col("seg").cast("long").alias("seg"), (F.col("seg") * 24).cast("long").alias("b0"), (F.col("seg") * 24 + 24).cast("long").alias("b1"))
+    return T.segment_subjects(seen, parts, "user_id")
+
+
+@query("WITH t AS (SELECT o_custkey AS clip, o_orderkey AS track, o_totalprice AS presence, (o_orderkey * 37) % 1000 AS cx FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY presence DESC, track) AS n FROM t) SELECT clip, track, row_number() OVER (PARTITION BY clip ORDER BY cx, presence DESC, track) - 1 AS id FROM k WHERE n <= 4")
+def track_labels(spark, d):
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderkey").alias("track"), F.col("o_totalprice").alias("presence"), ((F.col("o_orderkey") * 37) % 1000).alias("cx"))
+    return T.capped_tracks(t, "clip", 4).select("clip", "track", "id")
+
+
+@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT vec_id, max(v) AS m FROM e GROUP BY 1), l AS (SELECT vec_id, any_value(m) + ln(sum(exp(v - m))) AS l FROM e JOIN m USING (vec_id) GROUP BY 1) SELECT vec_id, token::INT AS token, round(v - l, 5) AS v FROM e JOIN l USING (vec_id)")
+def log_probabilities(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "v")).withColumn("v", F.col("v").cast("double"))
+    return _round(T.log_softmax(e, ["vec_id"]), "v", places=5)
+
+
+@query("WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, x, y, round(v, 6) AS v FROM p JOIN (SELECT unnest(range(0, 3)) AS x) ON true JOIN (SELECT unnest(range(0, 5)) AS y) ON true WHERE k % 8 = least(x * 8 // 3, 7) AND k // 8 = least(y * 8 // 5, 7)")
+def nearest_downscale(spark, d):
+    """Vectors of 64 as frames of 8 by 8, resampled to 3 by 5."""
+    e = table(spark, d, "embeddings")
+    src = e.select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", (F.col("k") % 8).cast("long").alias("x"), F.floor(F.col("k") / 8).alias("y"), F.col("v").cast("double").alias("v"))
+    dst = e.select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    return _round(T.resampled(dst, src, "vec_id", 8, 8, 3, 5), "v")
+
+
+@query("SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%d-%02d-%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d-%02d', s // 60, s % 60) END AS stem, round(o_totalprice * 1000)::BIGINT AS clip_id FROM (SELECT *, round(o_totalprice)::BIGINT AS s FROM orders)")
+def clip_stems(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", N.clock_stem(o.o_totalprice).alias("stem"), N.clip_id(o.o_totalprice).alias("clip_id"))
+
+
+_PAIRS = "sto AS (SELECT p_name AS wrong, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'r' || p_partkey END AS \"right\", p_partkey AS pos FROM part WHERE p_partkey % 2 = 0), cl AS (SELECT p_size AS clip, p_partkey AS pos, upper(p_name) AS wrong, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'c' || p_partkey END AS \"right\", p_size % 7 = 0 AS clip_only FROM part)"
+
+
+def _pair_stores(spark, d):
+    p = table(spark, d, "part")
+    right = lambda n, mark: F.when(p.p_partkey % n == 0, "").otherwise(F.concat(F.lit(mark), p.p_partkey.cast("string")))
+    # a word stands once in a store
+    store = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("wrong"), right(3, "r").alias("right"), F.col("p_partkey").alias("pos"))
+    store = store.groupBy("wrong").agg(F.min_by("right", "pos").alias("right"))
+    return store, p.select(F.col("p_size").alias("clip"), F.col("p_partkey").alias("pos"), F.upper("p_name").alias("wrong"), right(5, "c").alias("right"), (F.col("p_size") % 7 == 0).alias("clip_only"))
+
+
+_ONE = "s1 AS (SELECT wrong, arg_min(\"right\", pos) AS \"right\" FROM sto GROUP BY 1)"
+
+
+@query(f"WITH {_PAIRS}, {_ONE}, t AS (SELECT *, row_number() OVER (PARTITION BY lower(wrong) ORDER BY clip, pos) AS n FROM cl WHERE \"right\" = '' AND lower(wrong) NOT IN (SELECT lower(wrong) FROM s1)) SELECT wrong, \"right\", NULL::BIGINT AS clip FROM s1 UNION ALL SELECT wrong, '', clip::BIGINT FROM t WHERE n = 1")
+def clip_todos(spark, d):
+    return stores.with_clip_todos(*_pair_stores(spark, d))
+
+
+@query(f"WITH {_PAIRS}, {_ONE}, g AS (SELECT *, row_number() OVER (PARTITION BY lower(wrong) ORDER BY pos) AS n FROM cl WHERE \"right\" <> '' AND NOT clip_only) SELECT coalesce(s1.wrong, g.wrong) AS wrong, CASE WHEN coalesce(s1.\"right\", '') <> '' THEN s1.\"right\" ELSE coalesce(g.\"right\", '') END AS \"right\" FROM s1 FULL JOIN (SELECT * FROM g WHERE n = 1) g ON lower(g.wrong) = lower(s1.wrong)")
+def promoted_corrections(spark, d):
+    return stores.promoted(*_pair_stores(spark, d))
+
+
+@query("SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'en' END, CASE WHEN c_nationkey % 2 = 0 THEN 'ja' END, 'id') AS language FROM customer")
+def resolved_languages(spark, d):
+    c = table(spark, d, "customer")
+    creators = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("creator"), F.lit("ja").alias("language"))
+    return stores.languages(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("creator"), F.when(F.col("c_custkey") % 5 == 0, "en").alias("explicit")), creators)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS body FROM customer UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0")
+def upserted_records(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("body"))
+    some = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("body"))
+    return stores.upserted(c, some.unionByName(some.withColumn("c_custkey", -F.col("c_custkey"))), "c_custkey")
+
+
+@query("WITH f AS (SELECT p_size AS video, CASE p_partkey % 3 WHEN 0 THEN 'https' WHEN 1 THEN 'http' ELSE 'm3u8_native' END AS protocol, 'u' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN 'avc1.x' ELSE 'none' END AS vcodec, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 2 THEN 'none' ELSE 'mp4a.40' END AS acodec, (p_partkey % 9) * 180 AS height, CASE WHEN p_partkey % 7 = 0 THEN 'webm' END AS container, p_retailprice AS tbr FROM part), v AS (SELECT video, url, row_number() OVER (PARTITION BY video ORDER BY height DESC, floor(tbr) DESC, url DESC) AS n FROM f WHERE protocol IN ('http', 'https') AND vcodec LIKE 'avc1%' AND acodec = 'none' AND height <= 1080 AND container IS NULL), a AS (SELECT video, url, row_number() OVER (PARTITION BY video ORDER BY floor(tbr) DESC, url DESC) AS n FROM f WHERE protocol IN ('http', 'https') AND acodec LIKE 'mp4a%' AND vcodec = 'none'), m AS (SELECT video, bool_or(protocol LIKE 'm3u8%' AND vcodec <> 'none' AND acodec <> 'none' AND height <= 1080) AS muxed FROM f GROUP BY 1) SELECT m.video AS stream, CASE WHEN a.url IS NOT NULL THEN v.url END AS video, CASE WHEN v.url IS NOT NULL THEN a.url END AS audio, muxed FROM m LEFT JOIN v ON v.video = m.video AND v.n = 1 LEFT JOIN a ON a.video = m.video AND a.n = 1")
+def format_choice(spark, d):
+    p = table(spark, d, "part")
+    k = p.p_partkey
+    f = p.select(F.col("p_size").alias("stream"), F.when(k % 3 == 0, "https").when(k % 3 == 1, "http").otherwise("m3u8_native").alias("protocol"), F.concat(F.lit("u"), k.cast("string")).alias("url"), F.when(k % 2 == 0, "avc1.x").otherwise("none").alias("vcodec"), F.when((k % 2 == 0) & (k % 3 != 2), "none").otherwise("mp4a.40").alias("acodec"), ((k % 9) * 180).alias("height"), F.when(k % 7 == 0, "webm").alias("container"), p.p_retailprice.alias("tbr"))
+    return stores.dash_pairs(f, "stream")
+
+
+@query("SELECT c_nationkey, c_custkey AS id, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)")
+def numbered_names(spark, d):
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stem"))
+    return stores.numbered_names(c, "c_nationkey")
