@@ -75,16 +75,39 @@ def test_exchange_reaches_a_local_best():
 
 def test_words_of_a_context_sum_to_one():
     r = np.random.default_rng(2)
-    words = 30
-    size = words + 2 * B.SHAPES + 1
-    bigrams = r.poisson(1, (size, size)).astype(float)
-    bigrams[:, words + B.SHAPES:-1] = bigrams[words + B.SHAPES:-1] = 0  # unseen words aren't in training
-    sums = np.array([r.integers(50, 100, B.SHAPES + 1), np.full(B.SHAPES + 1, 10), np.full(B.SHAPES + 1, 5)])
-    model = B.Model(bigrams, np.sort(r.integers(1, 50, words))[::-1], sums, 5)
-    emit = 10**model.emit
-    emit[words:words + B.SHAPES] *= sums[0, :B.SHAPES]  # the counts of a shape's words sum to its tokens
-    for c in range(len(model.step)):
-        assert (10**model.step[c, model.label] * emit).sum() == pytest.approx(1)
+    classes, size = 5, 5 + B.SHAPES + 1
+    counts = [r.integers(2, 50, 6) for _ in range(classes)]
+    cells = r.poisson(1, (size, size)).astype(float)
+    # as many tokens of a class as its words have
+    cells[0, :classes] += [c.sum() for c in counts] - cells.sum(0)[:classes]
+    sums = np.array([r.integers(50, 100, B.SHAPES + 1), np.full(B.SHAPES + 1, 10), np.full(B.SHAPES + 1, 5), np.full(B.SHAPES + 1, 3)])
+    model, (once, unseen) = B.Model(cells, classes), B.rare_words(sums)
+    inside = np.array([(c / 10 ** model.size[k]).sum() for k, c in enumerate(counts)] + [5 * 10**a + 10**b for a, b in zip(once, unseen)] + [1])
+    for c in range(size):
+        assert (10**model.step[c] * inside).sum() == pytest.approx(1)
+
+
+def test_other_words_go_where_the_likelihood_is_greatest():
+    r = np.random.default_rng(6)
+    classes, size = 4, 9
+    cells = r.poisson(20, (size, size)).astype(float)
+    before, after = (r.poisson(0.8, (30, size)) * r.choice([1, 1, 30], (30, 1)) for _ in range(2))
+    after[:, 0] += np.maximum(0, before.sum(1) - after.sum(1))
+    before[:, 0] += np.maximum(0, after.sum(1) - before.sum(1))
+    word, column = np.nonzero(np.column_stack([before, after]))
+    got = B._gained(cells, classes, word, column, np.column_stack([before, after])[word, column], 30)
+
+    def value(m):
+        return B._xlogx(m).sum() - B._xlogx(m.sum(0)).sum() - B._xlogx(m.sum(1)).sum()
+
+    for w in range(30):
+        all_ = []
+        for c in range(classes):
+            m = cells.copy()
+            m[:, c] += before[w]
+            m[c] += after[w]
+            all_.append(value(m))
+        assert all_[got[w]] == pytest.approx(max(all_), abs=1e-6)
 
 
 def test_exchange_goes_on_until_no_word_moves():
