@@ -437,7 +437,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) ->
     spark = docs.sparkSession
     scratch, share = P.Scratch(spark), spark.sparkContext.broadcast
     blocked, _ = P.with_blocks(docs)
-    parts = 2 * P.shuffle_parts(spark)
+    parts = P.shuffle_parts(spark)
     counts = blocked.groupBy("block").applyInArrow(_count_block(parts), _RUN)
     summed = scratch.stored(counts.groupBy("part").applyInArrow(_sum_part(frequent), _RUN), "counts")
     stats = summed.where("kind = 2").select("blob")
