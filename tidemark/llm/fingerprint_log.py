@@ -230,7 +230,7 @@ class FingerprintLog:
 
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"run-{self.version:09d}-{level}-{uuid.uuid4().hex}"
-        rows.repartition(P.shuffle_parts(self.spark), "part").sortWithinPartitions("part", "block").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        rows.repartition(P.shuffle_parts(self.spark), "part").sortWithinPartitions("part", "block").write.parquet(f"{self.path}/{name}")
         self.runs.append((level, name))
 
     def append(self, batch: DataFrame, history: DataFrame, first: int, texts: bool = True) -> DataFrame:
