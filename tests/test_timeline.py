@@ -12,6 +12,13 @@ from tidemark.operators import intervals, moments, sentences, series, stores
 from tidemark.operators import timeline as T
 
 
+def test_notes_come_back_as_written(spark):
+    titles = ["Ther, lyhe sh ered from ", "at from  at ", "now - operator verify", "conf 1) at 0:01", "a\nb", ""]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    got = df.select("t", N.parse_note(N.harvest_note(F.lit(0.29), F.col("t"), F.lit(3908.0))).alias("p")).collect()
+    assert {r.t: (r.p.title, r.p.at_s, round(r.p.confidence, 2)) for r in got} == {t: (t or None, 3908.0, 0.29) for t in titles}
+
+
 def test_answers_of_a_judge(spark):
     cases = {
         '{"score": 8, "reason": "big", "title": "Boss — down"}': (8.0, "big", "Boss - down"),

@@ -46,10 +46,12 @@ def harvest_note(confidence: Column, title: Column, at: Column) -> Column:
 
 def parse_note(note: Column) -> Column:
     """(confidence, title, at_s) of a provenance note, each null if it isn't there."""
-    after = lambda mark: F.get(F.split(note, mark), F.lit(1))
+    # all that follows the first mark: a title's last word makes another one with the quote behind it
+    after = lambda mark: F.get(F.split(note, mark, 2), F.lit(1))
     confidence = F.trim(F.get(F.split(after("conf "), r"\)"), F.lit(0))).try_cast("float")
     title = F.get(F.split(after('from "'), '" at '), F.lit(0))
-    head = F.get(F.split(note, " - operator verify"), F.lit(0))
+    trailer = " - operator verify"
+    head = F.when(note.endswith(trailer), F.substring(note, F.lit(1), F.length(note) - len(trailer))).otherwise(F.get(F.split(note, trailer), F.lit(0)))
     tail = F.element_at(F.split(head, " at "), -1)
     whole = tail.rlike(r"^\s*\d+\s*:\s*\d+\s*(:\s*\d+\s*)?$") & (F.size(F.split(head, " at ")) > 1)
     return F.struct(confidence.alias("confidence"), F.when(title != "", title).alias("title"), F.when(whole, T.parse_clock(F.regexp_replace(tail, r"\s", ""))).alias("at_s"))
