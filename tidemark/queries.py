@@ -61,6 +61,11 @@ def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in names})
 
 
+def _rounded(value, places: int = 6):
+    """Rounded as DuckDB does: the scaled binary value counts, where Spark rounds the shortest decimal text (0.5029965 is a little less than that)."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 @query(f"WITH {_GRID} SELECT series_id, bin, v FROM s")
 def grid_bin_counts(spark, d):
     return hourly(spark, d)

@@ -12,7 +12,7 @@ from tidemark.functions import notes as N
 from tidemark.operators import captions, intervals, sentences, sequences, stores
 from tidemark.operators import series as S
 from tidemark.operators import timeline as T
-from tidemark.queries import _EV, _GRID, _WORDS, BINS, _every_word, _round, hourly, query, table, timed, turns
+from tidemark.queries import _EV, _GRID, _WORDS, BINS, _every_word, _round, _rounded, hourly, query, table, timed, turns
 from tidemark.sources import stores as sources
 
 TOTAL = 2592000.0
@@ -101,7 +101,7 @@ def frame_dims(spark, d):
 @query(f"WITH {_EV}, f AS (SELECT event_id, (us % 100000000) / 1e6 AS e, (user_id % 7)::DOUBLE AS i, (event_id % 5)::DOUBLE AS o FROM ev) SELECT event_id, round((CASE WHEN i > 0 THEN greatest(0, least(1, e / i)) ELSE 1 END) * (CASE WHEN o > 0 THEN greatest(0, least(1, (100 - e) / o)) ELSE 1 END), 6) AS visible FROM f")
 def fade_visibility(spark, d):
     e = timed(spark, d)
-    return e.select("event_id", F.round(C.fade((F.col("us") % 100_000_000) / 1e6, F.lit(100.0), (F.col("user_id") % 7).cast("double"), (F.col("event_id") % 5).cast("double")), 6).alias("visible"))
+    return e.select("event_id", _rounded(C.fade((F.col("us") % 100_000_000) / 1e6, F.lit(100.0), (F.col("user_id") % 7).cast("double"), (F.col("event_id") % 5).cast("double"))).alias("visible"))
 
 
 def _points(spark, d, kind):
