@@ -19,6 +19,22 @@ def test_notes_come_back_as_written(spark):
     assert {r.t: (r.p.title, r.p.at_s, round(r.p.confidence, 2)) for r in got} == {t: (t or None, 3908.0, 0.29) for t in titles}
 
 
+def _halves(text):
+    t = text.strip(" ")
+    mid, blanks = len(t) // 2, [k for k, x in enumerate(t) if x == " "]
+    at = min(blanks, key=lambda k: (abs(k - mid), k), default=None)
+    first, second = (t[:mid], t[mid:]) if at is None else (t[:at].strip(" "), t[at + 1:].strip(" "))
+    return (first, second) if len(t) >= 2 and first and second else None
+
+
+def test_halves_as_a_loop_and_of_long_texts(spark):
+    r = random.Random(3)
+    texts = ["", " ", "a", "ab", "a b", "  ab cd ", "é ö ü", "a  b", "𝒳 b", "abc d", "a bcd"] + ["".join(r.choice("aé𝒳  ") for _ in range(r.randint(0, 12))) for _ in range(400)]
+    texts += ["x" * 200_000 + " " + "y" * 300_000, "word " * 100_000, "z" * 100_001]  # by the square of the length these take hours
+    got = spark.createDataFrame([(t,) for t in sorted(set(texts))], "t string").select("t", N.halves(F.col("t"), F.lit(0.0), F.lit(2.0)).alias("h")).collect()
+    assert {x.t: x.h and (x.h.first, x.h.second) for x in got} == {t: _halves(t) for t in texts}
+
+
 def test_answers_of_a_judge(spark):
     cases = {
         '{"score": 8, "reason": "big", "title": "Boss — down"}': (8.0, "big", "Boss - down"),

@@ -29,8 +29,10 @@ def halves(text: Column, start: Column, end: Column) -> Column:
     The time is split like the text, a blank between a tenth and nine tenths."""
     t = F.trim(text)
     n, mid = F.length(t), F.floor(F.length(t) / 2)
-    blanks = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(F.substring(t, i, F.lit(1)) == " ", F.struct(F.abs(i - 1 - mid).alias("d"), (i - 1).alias("i")))), lambda x: x.isNotNull())
-    at = F.array_min(blanks)["i"]
+    # the last blank up to the middle and the first one after it, each found in one pass over its side
+    back, ahead = F.instr(F.reverse(F.substring(t, F.lit(1), (mid + 1).cast("int"))), " "), F.instr(F.substring(t, (mid + 2).cast("int"), n), " ")
+    low, high = F.when(back > 0, mid + 1 - back), F.when(ahead > 0, mid + ahead)
+    at = F.when(high.isNull() | (mid - low <= high - mid), low).otherwise(high)
     first = F.when(at.isNotNull(), F.trim(F.substring(t, F.lit(1), at.cast("int")))).otherwise(F.substring(t, F.lit(1), mid.cast("int")))
     second = F.when(at.isNotNull(), F.trim(F.substring(t, (at + 2).cast("int"), n))).otherwise(F.substring(t, (mid + 1).cast("int"), n))
     share = F.when(at.isNotNull(), F.greatest(F.lit(0.1), F.least(F.lit(0.9), at / n))).otherwise(0.5)

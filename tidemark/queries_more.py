@@ -295,7 +295,7 @@ def short_texts(spark, d):
 def unit_halves(spark, d):
     c = table(spark, d, "conversations")
     h = c.select("conv_id", "turn", N.halves(F.coalesce("text", F.lit("")), c.turn * 2.5, c.turn * 2.5 + 2).alias("h")).where("h IS NOT NULL")
-    return h.select("conv_id", "turn", F.md5("h.first").alias("first"), F.md5("h.second").alias("second"), F.round("h.at", 6).alias("at"))
+    return h.select("conv_id", "turn", F.md5("h.first").alias("first"), F.md5("h.second").alias("second"), _rounded(F.col("h.at")).alias("at"))
 
 
 @query("WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS clip, CASE WHEN c_custkey % 4 = 0 THEN 'local' ELSE c_mktsegment END AS creator, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE 'at ' || c_nationkey END AS stream FROM customer) SELECT c_custkey, concat_ws('; ', 'clip \"' || clip || '\"', CASE WHEN creator <> 'local' THEN 'streamer ' || creator END, CASE WHEN trim(stream) <> '' THEN 'stream \"' || stream || '\"' END) AS topic FROM c")
