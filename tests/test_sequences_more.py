@@ -101,6 +101,31 @@ def test_captions_begin_with_their_sound(spark):
     assert captions.refined(units, env, "clip", 0.02, keep_silent=True).count() == 3
 
 
+def test_laughs_cut_as_a_loop(spark):
+    r = random.Random(6)
+    units = [(c, k, float(a), float(a + r.randint(0, 6))) for c in range(4) for k, a in enumerate(r.choices(range(60), k=30))] + [(9, 0, 1.0, 5.0), (None, 0, 1.0, 5.0), (0, 99, None, 5.0), (0, 98, 4.0, None)]
+    laughs = [(c, float(a), float(a + r.randint(0, 3))) for c in range(4) for a in r.choices(range(60), k=3 + 6 * c)] + [(None, 2.0, 3.0), (0, None, 9.0), (1, 30.0, None)]
+    got = captions.laugh_trimmed(spark.createDataFrame(units, "clip long, idx long, start_s double, end_s double"), spark.createDataFrame(laughs, "clip long, from_s double, to_s double"), "clip").collect()
+    want = {}
+    for c, k, a, z in units:
+        own = [x for x in laughs if c is not None and x[0] == c and x[1] is not None and a is not None]
+        cuts = [f for _, f, _ in own if z is not None and a < f < z]
+        inside = any(t is not None and f <= a < t for _, f, t in own)
+        want[c, k] = z if inside or not cuts else min(max(a + 0.4, min(cuts)), z)
+    assert {(x.clip, x.idx): x.end_s for x in got} == want and len(got) == len(units)
+
+
+def test_laughs_never_meet_all_units(spark):
+    # of these each unit has a laugh of its own: their pairs are 2.5 billion
+    n = 50_000
+    units = spark.range(n).selectExpr("1L AS clip", "id AS idx", "cast(id AS double) AS start_s", "id + 0.9D AS end_s")
+    laughs = spark.range(n).selectExpr("1L AS clip", "id + 0.5D AS from_s", "id + 0.75D AS to_s")
+    got = captions.laugh_trimmed(units, laughs, "clip")
+    assert got.where("end_s = start_s + 0.5D").count() == n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_lenient_sources(spark, tmp_path):
     said = lambda ms: json.dumps({"replayChatItemAction": {"videoOffsetTimeMsec": ms, "actions": [{"addChatItemAction": {"item": {"liveChatTextMessageRenderer": {"id": "x"}}}}]}})
     banner = json.dumps({"replayChatItemAction": {"videoOffsetTimeMsec": "5", "actions": [{"addBanner": {}}]}})

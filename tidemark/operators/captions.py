@@ -70,10 +70,16 @@ def refined(units: DataFrame, envelope: DataFrame, by: str, hop: float, scale: f
 
 def laugh_trimmed(units: DataFrame, runs: DataFrame, by: str, read: float = MIN_READ) -> DataFrame:
     """Units (by, idx, start_s, end_s) that end where the first laugh (by, from_s, to_s) inside them begins, `read` after their start at least; one that starts in a laugh stays."""
-    both = units.join(runs.select(by, "from_s", "to_s"), by, "left")
-    n = both.groupBy(by, "idx", "start_s", "end_s").agg(F.max((F.col("from_s") <= F.col("start_s")) & (F.col("start_s") < F.col("to_s"))).alias("_in"), F.min(F.when((F.col("from_s") > F.col("start_s")) & (F.col("from_s") < F.col("end_s")), F.col("from_s"))).alias("_at"))
+    own = units.select(by, "idx", "start_s", "end_s", F.col("start_s").alias("_t"), F.lit(0).alias("_run"), F.lit(None).cast("double").alias("_from"), F.lit(None).cast("double").alias("_to"))
+    laughs = runs.where(F.col(by).isNotNull() & F.col("from_s").isNotNull()).select(by, F.col("from_s").alias("_from"), F.col("to_s").alias("_to")).withColumn("_t", F.col("_from")).withColumn("_run", F.lit(1))
+    # in the order of time a unit stands behind the laughs that begin with it: before it are those that may still go on, after it the one that may cut it
+    both = own.unionByName(laughs, allowMissingColumns=True)
+    past = f"PARTITION BY {by} ORDER BY _t, _run DESC ROWS UNBOUNDED PRECEDING"
+    ahead = f"PARTITION BY {by} ORDER BY _t DESC, _run ROWS UNBOUNDED PRECEDING"
+    n = both.withColumn("_until", F.expr(f"max(_to) OVER ({past})")).withColumn("_at", F.expr(f"last(_from, true) OVER ({ahead})")).where("_run = 0")
+    inside = F.coalesce(F.col("start_s") < F.col("_until"), F.lit(False))
     cut = F.least(F.greatest(F.col("start_s") + read, F.col("_at")), F.col("end_s"))
-    return n.select(by, "idx", "start_s", F.when(~F.coalesce("_in", F.lit(False)) & F.col("_at").isNotNull(), cut).otherwise(F.col("end_s")).alias("end_s"))
+    return n.select(by, "idx", "start_s", F.when(~inside & (F.col("_at") > F.col("start_s")) & (F.col("_at") < F.col("end_s")), cut).otherwise(F.col("end_s")).alias("end_s"))
 
 
 def word_state(genre: Column, start: Column, t: Column) -> Column:
