@@ -145,6 +145,55 @@ def test_clusters_as_a_loop(spark):
     assert sorted(sorted(g["item"]) for _, g in got.groupby("cluster")) == want
 
 
+def _linkage(x, threshold):
+    """The whole table searched for each pair."""
+    import numpy as np
+
+    groups, sums = [[i] for i in range(len(x))], 1 - x @ x.T
+    while len(groups) > 1:
+        size = np.array([len(g) for g in groups])
+        mean = sums / np.outer(size, size)
+        mean[np.tril_indices(len(groups))] = np.inf
+        a, b = divmod(int(mean.argmin()), len(groups))
+        if mean[a, b] >= threshold:
+            break
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        sums = np.delete(np.delete(sums, b, 0), b, 1)
+        groups[a] += groups.pop(b)
+    return sorted(groups, key=lambda g: -len(g))
+
+
+def test_clusters_of_many_copies_and_ties_as_a_search_of_all():
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    for trial in range(60):
+        n, d = int(r.integers(1, 60)), int(r.integers(2, 6))
+        x = np.sign(r.normal(size=(n, d))) if trial % 3 == 0 else r.normal(size=(n, d))
+        x = x[r.integers(0, max(1, n // 3), n)] if trial % 3 == 1 else x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for threshold in (0.3, 0.6, 3.0):
+            got = stores.average_linkage(pd.DataFrame({"item": range(n), "emb": list(x)}), threshold)
+            want = _linkage(x, threshold)
+            assert got["cluster"].tolist() == [next(k for k, g in enumerate(want) if i in g) for i in range(n)], (trial, threshold)
+
+
+def test_clusters_of_a_large_group_in_time():
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 16))[r.integers(0, 300, 3000)] + 0.3 * r.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    began = time.process_time()
+    got = stores.average_linkage(pd.DataFrame({"item": range(3000), "emb": list(x)}), 0.9)
+    assert got["cluster"].nunique() < 300 and time.process_time() - began < 40  # searched as a whole it is minutes
+
+
 @pytest.mark.parametrize("text, japanese, ends", [("ok.", False, True), ('word."', False, True), ("so‼ ", False, True), ("he said ”", False, False), ("そう。だ", False, False), ("そう。だ", True, True), ("a! b", True, False), ("end.»", False, True)])
 def test_sentence_ends(spark, text, japanese, ends):
     assert spark.createDataFrame([(text,)], "t string").select(X.ends_sentence(F.col("t"), japanese).alias("e")).first().e is ends

@@ -48,31 +48,56 @@ def gap_cut(heights: DataFrame) -> DataFrame:
 
 
 def average_linkage(items: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Clusters of unit vectors (item, emb) by average cosine distance; 0 is the largest cluster."""
+    """Clusters of unit vectors (item, emb) by average cosine distance; 0 is the largest cluster.
+
+    Each step joins the pair of the least mean, the first in order on a tie.  Only
+    the upper triangle counts: a row knows its nearest later column, or just a
+    bound below it once that column is gone, and is searched anew when the bound
+    comes up.  So a step costs a row, not the whole table."""
     x = np.stack(items["emb"]).astype(float)
-    d = 1 - x @ x.T
-    groups = [[i] for i in range(len(x))]
-    sums = d.copy()
-    while len(groups) > 1:
-        size = np.array([len(g) for g in groups])
-        mean = sums / np.outer(size, size)
-        mean[np.tril_indices(len(groups))] = np.inf
-        a, b = divmod(int(mean.argmin()), len(groups))
-        if mean[a, b] >= threshold:
+    n = len(x)
+    sums = x @ x.T
+    np.subtract(1, sums, out=sums)
+    size, alive = np.ones(n), np.ones(n, bool)
+    best, near, exact = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool)
+    groups: list[list[int] | None] = [[i] for i in range(n)]
+
+    def search(a: int) -> None:
+        mean = np.where(alive[a + 1:], sums[a, a + 1:] / (size[a] * size[a + 1:]), np.inf)
+        k = int(mean.argmin()) if len(mean) else -1
+        best[a], near[a], exact[a] = (mean[k], a + 1 + k, True) if k >= 0 else (np.inf, -1, True)
+
+    for a in range(n):
+        search(a)
+    for _ in range(n - 1):
+        while not exact[a := int(best.argmin())]:
+            search(a)
+        if best[a] >= threshold:
             break
+        b = int(near[a])
         sums[a] += sums[b]
-        sums[:, a] += sums[:, b]
-        sums = np.delete(np.delete(sums, b, 0), b, 1)
-        groups[a] += groups.pop(b)
-    order = sorted(range(len(groups)), key=lambda g: -len(groups[g]))
-    label = np.empty(len(x), np.int64)
-    for k, g in enumerate(order):
-        label[groups[g]] = k
+        sums[:, a] = sums[a]
+        size[a] += size[b]
+        alive[b], best[b], exact[b] = False, np.inf, True
+        groups[a] += groups[b]
+        groups[b] = None
+        # what earlier rows now have in column a; rounding may bring it below their bound
+        mean = np.where(alive[:a], sums[a, :a] / (size[a] * size[:a]), np.inf)
+        had, lost = best[:a], (near[:a] == a) | (near[:a] == b)
+        less = (mean < had) | ((mean == had) & exact[:a] & (lost | (near[:a] > a))) & (mean < np.inf)
+        exact[:a] &= ~(lost & ~less)
+        had[less], near[:a][less], exact[:a][less] = mean[less], a, True
+        exact[a + 1:b] &= near[a + 1:b] != b
+        search(a)
+    left = [g for g in groups if g]
+    label = np.empty(n, np.int64)
+    for k, g in enumerate(sorted(left, key=len, reverse=True)):
+        label[g] = k
     return pd.DataFrame({"item": items["item"], "cluster": label})
 
 
 def clustered(items: DataFrame, by: str, threshold: float) -> DataFrame:
-    """Groups are a few hundred items each: one clip's windows."""
+    """Groups are one clip's windows; a group takes the square of its items times 8 bytes."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
         return average_linkage(p.sort_values("item").reset_index(drop=True), threshold).assign(**{by: p[by].iloc[0]})[[by, "item", "cluster"]]
 
