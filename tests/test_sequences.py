@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tidemark.operators import sequences as Q
 
@@ -36,6 +37,37 @@ def test_boxes_lines_and_onsets():
     assert Q.accepted([0.0, 0.1, 0.14, 0.2, 0.5], 0.15) == [0.0, 0.2, 0.5]
 
 
+def test_boxes_of_uneven_frames_as_a_loop(spark):
+    rng = np.random.default_rng(7)
+    rows = [(None if g == 50 else f"f{g}", n, *(float(v) for v in rng.integers(0, 12, 2)), *(float(v) for v in rng.integers(0, 9, 2)), float(rng.integers(0, 4))) for g in range(60) for n in range(200 if g == 3 else rng.integers(1, 9))]
+    df = spark.createDataFrame(rows, "frame string, det int, x double, y double, w double, h double, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        got = sorted((tuple(x) for x in Q.box_suppression(df, "frame", 0.3).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for g in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[6], r[1])):
+            def over(k, x=r[2], y=r[3], w=r[4], h=r[5]):
+                both = max(min(x + w, k[2] + k[4]) - max(x, k[2]), 0) * max(min(y + h, k[3] + k[5]) - max(y, k[3]), 0)
+                union = w * h + k[4] * k[5] - both
+                return union > 0 and both / union > 0.3
+            if not any(over(k) for k in kept):
+                kept.append(r)
+        want += kept
+    assert got == sorted(want, key=str)
+
+
+def test_groups_stay_whole_over_batches():
+    keys = [1, 1, 2, 2, 2, 3, None, None, 4, 5, 5, 5, 5, 5]
+    for size in range(1, 15):
+        batches = [pa.record_batch({"k": pa.array(keys[i:i + size], pa.int64())}) for i in range(0, len(keys), size)]
+        found = [t["k"].to_pylist()[a:b] for t, first in Q.whole_groups(iter(batches)) for a, b in zip(first[:-1], first[1:])]
+        assert found == [[1, 1], [2, 2, 2], [3], [None, None], [4], [5] * 5]
+
+
 def test_caption_end_is_held_before_the_next_line(spark):
     rows = [(1, 0, "a", 0.0, 1.0), (1, 1, "b", 2.2, 3.0), (1, 2, "c" * 22, 3.1, 4.0)]
     got = Q.caption_lines(spark.createDataFrame(rows, "c long, idx long, text string, start_s double, end_s double"), "c").orderBy("line").collect()

@@ -2,30 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches whose rows are in the order of their first column, as tables that hold groups as a whole; with the first row of each group, and the number of rows at last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = pc.run_end_encode(batch.column(0)).run_ends.to_numpy()
+        cut = int(ends[-2]) if len(ends) > 1 else 0
+        # the last group may go on in the next batch
+        if held and (cut or held[-1].column(0)[-1] != batch.column(0)[0]):
+            yield _grouped([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield _grouped([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield _grouped(held)
+
+
+def _grouped(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    t = pa.Table.from_batches(batches).combine_chunks()
+    return t, np.r_[0, pc.run_end_encode(t.column(0).chunk(0)).run_ends.to_numpy()]
+
+
+def _floats(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].cast(pa.float64(), safe=False).to_numpy()
+
+
+def _ordered(t: pa.Table, name: str) -> np.ndarray:
+    """Numbers in the order of a column's values."""
+    return np.unique(t[name].to_numpy(), return_inverse=True)[1]
+
+
+def each_group(df: DataFrame, by: str, run, kind: str) -> DataFrame:
+    """Tables of whole groups and their first rows through run(), many groups at a time."""
+    def through(batches):
+        for t, first in whole_groups(batches):
+            yield from run(t, first).to_batches()
+
+    return df.repartition(by).sortWithinPartitions(by).mapInArrow(through, kind)
+
+
+def kept_rows(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows that stay, of boxes in the order of their groups and of falling score: each round, the first that is left in every group stays, and those that overlap it by more than the threshold go."""
+    left, keep = np.arange(len(group)), []
+    while len(left):
+        g = group[left]
+        new = np.r_[True, g[1:] != g[:-1]]
+        top = left[new]
+        keep.append(top)
+        i, rest = np.repeat(top, np.diff(np.r_[np.flatnonzero(new), len(left)]))[~new], left[~new]
+        both = np.clip(np.minimum(x[i] + w[i], x[rest] + w[rest]) - np.maximum(x[i], x[rest]), 0, None) * np.clip(np.minimum(y[i] + h[i], y[rest] + h[rest]) - np.maximum(y[i], y[rest]), 0, None)
+        union = w[i] * h[i] + w[rest] * h[rest] - both
+        left = rest[~(np.divide(both, union, out=np.zeros(len(rest)), where=union > 0) > threshold)]
+    return np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
+
+
 def kept_boxes(boxes: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Boxes (det, x, y, w, h, score) by falling score; one that overlaps a kept one by more than the threshold goes."""
+    """Boxes (det, x, y, w, h, score) of one group by falling score; one that overlaps a kept one by more than the threshold goes."""
     b = boxes.sort_values(["score", "det"], ascending=[False, True], kind="stable")
-    x, y, w, h = (b[c].to_numpy(float) for c in "xywh")
-    alive, keep = np.ones(len(b), bool), []
-    for i in range(len(b)):
-        if alive[i]:
-            keep.append(i)
-            both = np.clip(np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x), 0, None) * np.clip(np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y), 0, None)
-            union = w[i] * h[i] + w * h - both
-            alive &= ~(np.divide(both, union, out=np.zeros(len(b)), where=union > 0) > threshold)
-    return b.iloc[keep]
+    return b.iloc[kept_rows(np.zeros(len(b), np.int64), *(b[c].to_numpy(float) for c in "xywh"), threshold)]
 
 
 def box_suppression(boxes: DataFrame, by: str, threshold: float) -> DataFrame:
-    cols = [by, "det", "x", "y", "w", "h", "score"]
-    own = boxes.select(*cols)
-    return own.groupBy(by).applyInPandas(lambda p: kept_boxes(p, threshold)[cols], own.schema)
+    """The rows that kept_boxes() leaves of each group."""
+    def run(t: pa.Table, first: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        order = np.lexsort((_ordered(t, "det"), -_floats(t, "score"), group))
+        return t.take(order[kept_rows(group, *(_floats(t, c)[order] for c in "xywh"), threshold)])
+
+    own = boxes.select(by, "det", "x", "y", "w", "h", "score")
+    return each_group(own, by, run, own.schema)
 
 
 def line_numbers(texts: list[str], starts: list[float], ends: list[float], chars: int = 22, gap: float = 1.0) -> list[int]:
