@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 
@@ -67,6 +68,39 @@ def test_tracks_as_a_loop(spark):
                 assert got[(c, f, b[2])] == k
 
 
+def test_tracks_of_uneven_clips(spark):
+    """Clips of one box to hundreds, as a plain loop sees them; more rows than a batch."""
+    r = random.Random(12)
+    boxes = [(c, f, n, r.choice([10.0, 30.0, 50.0]) + r.uniform(-9, 9), r.uniform(0, 8), 10.0, 10.0) for c in range(60) for f in range(1 if c % 3 else 40) for n in range(r.randint(1, 6))] + [(99, f, 0, 5.0 * f, 0.0, 1.0, 1.0) for f in range(400)]
+    df = spark.createDataFrame(boxes, "clip long, frame long, det long, x double, y double, w double, h double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(x.clip, x.frame, x.det): x.track for x in sequences.tracked(df, "clip", 12.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, want = {}, {}
+    for c, f, n, x, y, w, h in sorted(boxes):
+        tracks = last.setdefault(c, [])
+        a, b = x + w / 2, y + h / 2
+        free = [((a - u) ** 2 + (b - v) ** 2, k) for k, (u, v, seen) in enumerate(tracks) if seen != f]
+        d, k = min(free, default=(float("inf"), -1))
+        k = k if d <= 144.0 else len(tracks)
+        tracks[k:k + 1] = [(a, b, f)]
+        want[c, f, n] = k
+    assert got == want
+
+
+def test_many_small_clips_at_once(spark):
+    """A call for each clip takes minutes for these."""
+    boxes = spark.range(800_000).selectExpr("id div 4 AS clip", "id % 2 AS frame", "id % 4 AS det", "cast(id % 2 AS double) AS x", "0D AS y", "1D AS w", "1D AS h", "rand(1) AS score")
+    began = time.time()
+    assert sequences.tracked(boxes, "clip", 0.5).count() == 800_000
+    assert time.time() - began < 60
+    began = time.time()
+    assert sequences.box_suppression(boxes, "clip", 0.3).count() == 400_000
+    assert time.time() - began < 60
+
+
 SAID = [(0.0, 5.0, True), (6.0, 10.0, True), (11.0, 20.0, True), (30.0, 33.0, False)]
 WORDS = [(float(k), k + 0.9) for k in (0, 1, 2, 3, 4, 6, 7, 8, 9, 11, 13, 15, 17, 19, 30, 32)]
 

@@ -251,26 +251,49 @@ def character_chunks(tokens: DataFrame, by: str, chars: int = 4) -> DataFrame:
     return tokens.groupBy(by).applyInPandas(run, f"{by} {dict(tokens.dtypes)[by]}, chunk long, text string, start_s double, end_s double, confidence double")
 
 
+def track_numbers(first: np.ndarray, frame: np.ndarray, cx: np.ndarray, cy: np.ndarray, near: float) -> np.ndarray:
+    """Track of each box, within its group; boxes are in the order of groups, frames and detections.
+
+    Each round takes the next box of every group: a group's tracks stand from its first row on, as it has no more tracks than boxes."""
+    n = len(frame)
+    track, many = np.empty(n, np.int64), np.zeros(len(first) - 1, np.int64)
+    u, v, seen = np.empty(n), np.empty(n), np.empty(n, np.int64)
+    sizes = np.diff(first)
+    order = np.argsort(-sizes, kind="stable")
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    for j, count in enumerate(live):
+        g = order[:count]
+        row, k = first[g] + j, many[g].copy()
+        own = np.flatnonzero(k)
+        if len(own):
+            had = k[own]
+            begin = np.r_[0, np.cumsum(had)[:-1]]
+            of = np.repeat(np.arange(len(own)), had)
+            nth = np.arange(len(of)) - begin[of]
+            at, box = first[g[own]][of] + nth, row[own][of]
+            d = (cx[box] - u[at]) ** 2 + (cy[box] - v[at]) ** 2
+            d = np.where((seen[at] == frame[box]) | np.isnan(d), np.inf, d)
+            least = np.minimum.reduceat(d, begin)
+            which = np.minimum.reduceat(np.where(d == least[of], nth, n), begin)
+            k[own] = np.where((least <= near * near) & (least < np.inf), which, had)
+        many[g] = np.maximum(many[g], k + 1)
+        at = first[g] + k
+        u[at], v[at], seen[at], track[row] = cx[row], cy[row], frame[row], k
+    return track
+
+
 def tracked(boxes: DataFrame, by: str, near: float) -> DataFrame:
     """Boxes (by, frame, det, x, y, w, h) with the track each belongs to: the nearest one by its last centre, within `near`, that has no box of this frame yet; else a new one.
 
     Frames follow one another within a clip; a clip is one group."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["frame", "det"])
-        cx, cy = (p["x"] + p["w"] / 2).to_numpy(), (p["y"] + p["h"] / 2).to_numpy()
-        last: list[tuple[float, float]] = []
-        seen: list[int] = []
-        out = []
-        for f, a, b in zip(p["frame"], cx, cy, strict=True):
-            free = [((a - u) ** 2 + (b - v) ** 2, k) for k, (u, v) in enumerate(last) if seen[k] != f]
-            d, k = min(free, default=(float("inf"), -1))
-            if d > near * near:
-                k = len(last)
-                last.append((a, b))
-                seen.append(f)
-            last[k], seen[k] = (a, b), f
-            out.append(k)
-        return p[[by, "frame", "det"]].assign(track=out)
+    def run(t: pa.Table, first: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        frame = _ordered(t, "frame")
+        order = np.lexsort((_ordered(t, "det"), frame, group))
+        x, y, w, h = (_floats(t, c)[order] for c in "xywh")
+        track = track_numbers(first, frame[order], x + w / 2, y + h / 2, near)
+        return t.select([by, "frame", "det"]).take(order).append_column("track", pa.array(track))
 
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, frame {kinds['frame']}, det {kinds['det']}, track long")
+    own = boxes.select(by, "frame", "det", "x", "y", "w", "h")
+    return each_group(own, by, run, f"{by} {kinds[by]}, frame {kinds['frame']}, det {kinds['det']}, track long")
